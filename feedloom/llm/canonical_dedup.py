@@ -1,8 +1,12 @@
 """Duplicates hidden by formatting: canonicalise, hash to 128 bits, count with map-side combining.
 
-Every expression runs inside the JVM. The canonical text never crosses a shuffle unless two different
-texts share a 128-bit hash, which a third, independent hash detects; such groups are then separated by
-that hash as well, so the result is exact but for a simultaneous collision of 192 bits.
+Every expression runs inside the JVM, and no canonical text crosses a shuffle: rows travel as their id and
+a few hashes. A third, independent hash detects different texts that share a 128-bit hash and keeps them
+apart, so the result is exact but for a simultaneous collision of 192 bits.
+
+Records whose title and company stand in each other's column are found by a second hash, that of the
+exchanged reading. It links classes of equal records, never records, and the few linked classes are
+settled by two rounds of taking the least neighbour: exchanged classes link to straight ones only.
 """
 
 from __future__ import annotations
@@ -10,72 +14,89 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Separators between the parts of a title, after white space has been collapsed to single spaces.
-PART_SEPARATORS = r"\s[-–—|/:·•]+(?=\s|$)|^[-–—|/:·•]+\s|[|()\[\]{},;]"
-#: Everything that is neither letter, mark nor number.
+from feedloom.plans.lineage import cut
+
+#: Everything that is neither letter, mark nor number; in titles + and # are letters (C++, C#).
 NOISE = r"[^\p{L}\p{M}\p{N}]+"
-#: The same, but + and # hold where they stick to a letter, a number or each other (C++, C#).
-TITLE_NOISE = r"(?:[^\p{L}\p{M}\p{N}+#]|(?<![\p{L}\p{M}\p{N}+#])[+#])+"
+TITLE_NOISE = r"[^\p{L}\p{M}\p{N}+#]+"
 
 
-def _collapse(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(text), r"[\s\p{Z}\p{Cf}]+", " "))
+def canonical_name(text: Column) -> Column:
+    """The letters and numbers of ``text`` in their order; null becomes the empty string."""
+    return F.coalesce(F.regexp_replace(F.lower(text), NOISE, ""), F.lit(""))
 
 
-def canonical_parts(text: Column) -> Column:
-    """Letters and numbers of each part of ``text``, parts sorted; null becomes the empty string."""
-    parts = F.split(_collapse(text), PART_SEPARATORS)
-    clean = F.filter(F.transform(parts, lambda p: F.regexp_replace(p, TITLE_NOISE, "")), lambda p: p != "")
-    return F.coalesce(F.array_join(F.array_sort(clean), "\u0001"), F.lit(""))
+def canonical_title(text: Column) -> Column:
+    """The words of ``text`` sorted, whatever separates its parts; null becomes the empty string."""
+    words = F.filter(F.split(F.lower(text), TITLE_NOISE), lambda w: w != "")
+    return F.coalesce(F.array_join(F.array_sort(words), " "), F.lit(""))
 
 
 def canonical_url(url: Column) -> Column:
     """Letters and numbers of a url's path part, then of its query fields in sorted order, then of its fragment."""
-    u = _collapse(url)
-    head = F.regexp_extract(u, r"^([^?#]*)", 1)
-    query = F.regexp_extract(u, r"^[^?#]*\?([^#]*)", 1)
-    fragment = F.regexp_extract(u, r"#(.*)$", 1)
-    fields = F.filter(F.transform(F.split(query, "[&;]"), lambda q: F.regexp_replace(q, NOISE, "")), lambda q: q != "")
-    return F.coalesce(
-        F.concat_ws("\u0001", F.regexp_replace(head, NOISE, ""), F.array_join(F.array_sort(fields), "\u0002"), F.regexp_replace(fragment, NOISE, "")),
-        F.lit(""),
-    )
+    u = F.lower(url)
+    fields = F.split(F.regexp_extract(u, r"(?s)^[^?#]*\?([^#]*)", 1), "[&;]")
+    clean = F.filter(F.transform(fields, lambda q: F.regexp_replace(q, NOISE, "")), lambda q: q != "")
+    parts = (F.regexp_extract(u, r"(?s)^([^?#]*)", 1), F.regexp_extract(u, r"(?s)#(.*)$", 1))
+    return F.coalesce(F.concat_ws("\u0001", F.regexp_replace(parts[0], NOISE, ""), F.array_join(F.array_sort(clean), "\u0002"), F.regexp_replace(parts[1], NOISE, "")), F.lit(""))
+
+
+def _hashed(df: DataFrame, row_id: str, url: str, title: str, company: str) -> DataFrame:
+    """``row_id``, the hash ``h`` of each row as it stands, and ``x``: its hash with title and company exchanged.
+
+    A hash is 128 bits of MD5 followed by the 64 bits of another hash as collision check.
+    """
+    rows = df.select(
+        F.col(f"`{row_id}`").alias("row_id"), canonical_url(F.col(f"`{url}`")).alias("u"), F.col(f"`{title}`").alias("t"), F.col(f"`{company}`").alias("c")
+    ).where(F.col("row_id").isNotNull())
+    key = lambda a, b: F.concat_ws("\u0003", "u", canonical_title(F.col(a)), canonical_name(F.col(b)))
+    keyed = rows.select("row_id", key("t", "c").alias("k"), key("c", "t").alias("other"))
+    checked = lambda k: F.unhex(F.concat(F.md5(k), F.lpad(F.hex(F.xxhash64(k)), 16, "0")))
+    return keyed.select("row_id", checked("k").alias("h"), checked("other").alias("x"))
 
 
-def canonical_key(url: Column, *fields: Column) -> Column:
-    """One string for a record: its url and its other fields, whichever column each of these stands in."""
-    return F.concat_ws("\u0003", canonical_url(url), F.array_join(F.array_sort(F.array(*[canonical_parts(f) for f in fields])), "\u0003"))
+def _classes(rows: DataFrame) -> DataFrame:
+    """``h, first_row_id, copies, root``: classes of rows that agree as they stand; ``root`` joins exchanged ones."""
+    classes = rows.groupBy("h").agg(F.min("row_id").alias("first_row_id"), F.count("*").alias("copies"))
+    exchanged = rows.where("h != x").select("h", "x").distinct().join(classes.select(F.col("h").alias("x")), "x")
+    links = cut(exchanged.select("h", "x").unionByName(exchanged.select(F.col("x").alias("h"), F.col("h").alias("x"))).distinct())
+    once = links.groupBy("h").agg(F.least("h", F.min("x")).alias("low"))
+    twice = links.join(once.select(F.col("h").alias("x"), F.col("low").alias("there")), "x").groupBy("h").agg(F.min("there").alias("there"))
+    roots = once.join(twice, "h").select("h", F.least("low", "there").alias("root"))
+    return classes.join(roots, "h", "left").withColumn("root", F.coalesce("root", "h"))
 
 
-def _hashed(df: DataFrame, row_id: str, url: str, fields: tuple[str, ...]) -> DataFrame:
-    key = canonical_key(F.col(f"`{url}`"), *[F.col(f"`{f}`") for f in fields])
-    rows = df.select(F.col(f"`{row_id}`").alias("row_id"), key.alias("key")).where(F.col("row_id").isNotNull())
-    return rows.select("row_id", F.unhex(F.md5("key")).alias("h"), F.xxhash64("key").alias("check"))
+def _sets(classes: DataFrame) -> DataFrame:
+    """``root, first_row_id, copies`` of each set of copies."""
+    return classes.groupBy("root").agg(F.min("first_row_id").alias("first_row_id"), F.sum("copies").alias("copies"))
 
 
-def copy_groups(df: DataFrame, row_id: str = "row_id", url: str = "url", fields: tuple[str, ...] = ("title", "company")) -> DataFrame:
-    """Each set of records that agree but for formatting, once: ``first_row_id``, ``copies``, ``h``, ``check``.
+def copy_groups(df: DataFrame, row_id: str = "row_id", url: str = "url", title: str = "title", company: str = "company") -> DataFrame:
+    """Each set of records that agree but for formatting, once: ``first_row_id, copies``.
 
     Records agree if url, title and company agree apart from white space, letter case, punctuation, the
-    order of a url's query fields, the order of a title's parts and the two columns being exchanged. Null
-    and blank values agree with each other. Rows without id are left out; an empty table gives no rows;
-    further columns are not read.
+    order of a url's query fields, the order of a title's words and title and company being exchanged. Null
+    and blank values agree with each other. Rows without id are left out, repeated ids count each; an empty
+    table gives no rows; further columns are not read.
     """
-    return _hashed(df, row_id, url, fields).groupBy("h", "check").agg(F.min("row_id").alias("first_row_id"), F.count("*").alias("copies"))
+    return _sets(_classes(_hashed(df, row_id, url, title, company))).select("first_row_id", "copies")
 
 
-def collisions(df: DataFrame, row_id: str = "row_id", url: str = "url", fields: tuple[str, ...] = ("title", "company")) -> DataFrame:
+def collisions(df: DataFrame, row_id: str = "row_id", url: str = "url", title: str = "title", company: str = "company") -> DataFrame:
     """128-bit hashes that different canonical texts share (expected: none), found without moving the texts."""
-    return copy_groups(df, row_id, url, fields).groupBy("h").agg(F.count("*").alias("texts")).where("texts > 1")
+    classes = _hashed(df, row_id, url, title, company).groupBy("h").agg(F.count("*").alias("records"))
+    return classes.groupBy(F.substring("h", 1, 16).alias("hash")).agg(F.count("*").alias("texts"), F.sum("records").alias("records")).where("texts > 1")
 
 
-def later_copies(df: DataFrame, row_id: str = "row_id", url: str = "url", fields: tuple[str, ...] = ("title", "company")) -> DataFrame:
+def later_copies(df: DataFrame, row_id: str = "row_id", url: str = "url", title: str = "title", company: str = "company") -> DataFrame:
     """``first_row_id, row_id`` for each record but the first of its set of copies.
 
     The sets are counted first, on the map side as far as possible; only sets of two or more meet the rows
     again. That join's hot keys (a set may hold a third of all rows) are split by AQE's skew handling: one
     side has a single row a key, and both carry a few dozen bytes. Equal ids in a set count once.
     """
-    rows = _hashed(df, row_id, url, fields)
-    groups = rows.groupBy("h", "check").agg(F.min("row_id").alias("first_row_id"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return rows.join(groups, ["h", "check"]).where(F.col("row_id") > F.col("first_row_id")).select("first_row_id", "row_id").distinct()
+    rows = _hashed(df, row_id, url, title, company)
+    classes = _classes(rows)
+    several = _sets(classes).where("copies > 1").select("root", "first_row_id")
+    members = classes.select("h", "root").join(several, "root").select("h", "first_row_id")
+    return rows.select("h", "row_id").join(members, "h").where(F.col("row_id") > F.col("first_row_id")).select("first_row_id", "row_id").distinct()
