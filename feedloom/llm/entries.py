@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from feedloom.llm import bpe, canonical_dedup, langid, leakage
+from feedloom.llm import bpe, canonical_dedup, langid, leakage, residue
 from feedloom.plans.tables import table
 
 
@@ -19,6 +19,10 @@ def p4_copies(spark: SparkSession, d: str) -> DataFrame:
     return canonical_dedup.copy_groups(table(spark, d, "open_jobs")).select("first_row_id", "copies")
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue.residue(table(spark, d, "open_jobs"))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode(table(spark, d, "documents"))
 
@@ -37,7 +41,7 @@ def p9_segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p4_found, p4_copies, p7_ids, p8_found, p9_found, p9_segments)
+    f.__name__: f for f in (p4_found, p4_copies, p5_found, p7_ids, p8_found, p9_found, p9_segments)
 }
 
 SQL: dict[str, str] = {}

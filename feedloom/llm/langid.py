@@ -265,7 +265,7 @@ def segments(texts: list[str], model: PPM) -> Iterator[list[tuple[int, int, str,
 def _train(samples: DataFrame, docs: DataFrame, lang: str, text: str, more: int = MAX_DOCUMENTS) -> PPM:
     """The model of the clean samples, fitted again with labelled documents that it finds rightly labelled.
 
-    At most MAX_SAMPLES samples and ``more`` documents, those of the lowest text hash, come to the driver.
+    At most MAX_SAMPLES samples and about ``more`` documents, those of the lowest text hash, come to the driver.
     Of the documents count those in one language, by the first model and the label alike.
     """
     rows = samples.select(lang, text).where(samples[lang].isNotNull() & samples[text].isNotNull()).orderBy(lang, text).limit(MAX_SAMPLES).collect()
@@ -276,7 +276,10 @@ def _train(samples: DataFrame, docs: DataFrame, lang: str, text: str, more: int
     if more <= 0 or lang not in docs.columns:
         return model
     wanted = F.regexp_extract(F.lower(F.trim(docs[lang])), r"^[^-_.@]*", 0).isin(sorted(_LABELS)) & (F.length(docs[text]) <= MAX_LENGTH)
-    taken = docs.select(docs[lang].alias("lang"), docs[text].alias("text")).where(wanted).orderBy(F.xxhash64("text"), "text", "lang").limit(more).collect()
+    taken = docs.select(docs[lang].alias("lang"), docs[text].alias("text")).where(wanted)
+    if (n := docs.count()) > more:
+        taken = taken.where(F.xxhash64("text") < F.lit(int(-(2**63) + (2**64) * (more / n)))).limit(4 * more)  # repeated texts share a hash
+    taken = sorted(taken.collect(), key=lambda r: (r["lang"], r["text"]))
     for r, found in zip(taken, segments([r["text"] for r in taken], model)):
         chars = Counter()
         for begin, end, language, _, _ in found:
