@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from feedloom.llm import bpe, canonical_dedup, langid, leakage, residue
+from feedloom.llm import bpe, canonical_dedup, langid, leakage, residue, wrappers
 from feedloom.plans.tables import table
 
 
@@ -23,6 +23,15 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return residue.residue(table(spark, d, "open_jobs"))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return wrappers.furniture_lines(table(spark, d, "open_jobs"))
+
+
+def p6_wrappers(spark: SparkSession, d: str) -> DataFrame:
+    """The wrapper of each block of each host."""
+    return wrappers.wrappers(table(spark, d, "open_jobs"))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode(table(spark, d, "documents"))
 
@@ -41,7 +50,7 @@ def p9_segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p4_found, p4_copies, p5_found, p7_ids, p8_found, p9_found, p9_segments)
+    f.__name__: f for f in (p4_found, p4_copies, p5_found, p6_found, p6_wrappers, p7_ids, p8_found, p9_found, p9_segments)
 }
 
 SQL: dict[str, str] = {}
