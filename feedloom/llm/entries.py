@@ -5,11 +5,29 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from feedloom.llm import bpe, canonical_dedup, langid, leakage, residue, wrappers
+from feedloom.llm import bpe, canonical_dedup, langid, leakage, names, residue, wrappers
 from feedloom.plans.tables import table
 
 
+def _typed_names(spark: SparkSession, d: str) -> DataFrame:
+    return (
+        table(spark, d, "sh_reconcile").select(F.col("company_name").alias("name"))
+        .unionByName(table(spark, d, "open_jobs").select(F.col("company").alias("name")))
+        .unionByName(table(spark, d, "known_jobs").select(F.col("company").alias("name")))
+    )
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return names.same_organisation(_typed_names(spark, d), names.places_of(table(spark, d, "open_jobs")))
+
+
+def p1_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Every typed name with its cluster."""
+    return names.clusters(_typed_names(spark, d), names.places_of(table(spark, d, "open_jobs")))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return canonical_dedup.later_copies(table(spark, d, "open_jobs"))
 
@@ -50,7 +68,7 @@ def p9_segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p4_found, p4_copies, p5_found, p6_found, p6_wrappers, p7_ids, p8_found, p9_found, p9_segments)
+    f.__name__: f for f in (p1_found, p1_clusters, p4_found, p4_copies, p5_found, p6_found, p6_wrappers, p7_ids, p8_found, p9_found, p9_segments)
 }
 
 SQL: dict[str, str] = {}
