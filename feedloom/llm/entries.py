@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm import bpe, canonical_dedup, langid, leakage, names, residue, wrappers
+from feedloom.llm import bpe, canonical_dedup, langid, leakage, matching, names, residue, wrappers
 from feedloom.plans.tables import table
 
 
@@ -28,6 +28,15 @@ def p1_clusters(spark: SparkSession, d: str) -> DataFrame:
     return names.clusters(_typed_names(spark, d), names.places_of(table(spark, d, "open_jobs")))
 
 
+def p2_matches(spark: SparkSession, d: str) -> DataFrame:
+    """The member that each coverage row speaks of, with the rule that found it and its confidence."""
+    return matching.match(table(spark, d, "sh_reconcile"), table(spark, d, "companies_state"), names.places_of(table(spark, d, "open_jobs")))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return p2_matches(spark, d).select("recon_id", "member_id")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return canonical_dedup.later_copies(table(spark, d, "open_jobs"))
 
@@ -68,7 +77,7 @@ def p9_segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_clusters, p4_found, p4_copies, p5_found, p6_found, p6_wrappers, p7_ids, p8_found, p9_found, p9_segments)
+    f.__name__: f for f in (p1_found, p1_clusters, p2_found, p2_matches, p4_found, p4_copies, p5_found, p6_found, p6_wrappers, p7_ids, p8_found, p9_found, p9_segments)
 }
 
 SQL: dict[str, str] = {}

@@ -165,7 +165,7 @@ def allowed(length: int) -> int:
     return 0 if length < 5 else 1 if length < 8 else 2 if length < 18 else 3
 
 
-def _orders(core: tuple[str, ...]) -> list[str]:
+def orders(core: tuple[str, ...]) -> list[str]:
     return ["".join(p) for p in permutations(core)] if len(core) <= 3 else ["".join(core), "".join(core[1:] + core[:1]), "".join(core[-1:] + core[:-1])]
 
 
@@ -177,4 +177,4 @@ def _close(x: str, y: str) -> bool:
 def same_core(a: tuple[str, ...], b: tuple[str, ...]) -> bool:
     """Whether two sequences of own words are spellings of one: joined, split, reordered or mistyped words."""
     x, y = "".join(a), "".join(b)
-    return any(_close(x, o) for o in _orders(b)) or any(_close(y, o) for o in _orders(a)[1:])
+    return any(_close(x, o) for o in orders(b)) or any(_close(y, o) for o in orders(a)[1:])
