@@ -1,0 +1 @@
+"""Sources and sinks at the edges of the engine."""
