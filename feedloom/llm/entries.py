@@ -80,4 +80,38 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (p1_found, p1_clusters, p2_found, p2_matches, p4_found, p4_copies, p5_found, p6_found, p6_wrappers, p7_ids, p8_found, p9_found, p9_segments)
 }
 
-SQL: dict[str, str] = {}
+_NOISE, _TITLE_NOISE = r"[^\p{L}\p{M}\p{N}]+", r"[^\p{L}\p{M}\p{N}+#]+"
+
+
+def _name_sql(x: str) -> str:
+    return f"coalesce(regexp_replace(lower({x}), '{_NOISE}', '', 'g'), '')"
+
+
+def _title_sql(x: str) -> str:
+    return f"coalesce(array_to_string(list_sort(list_filter(string_split_regex(lower({x}), '{_TITLE_NOISE}'), lambda w: w != '')), ' '), '')"
+
+
+_URL_SQL = f"""coalesce(concat_ws(chr(1), regexp_replace(regexp_extract(lower(url), '(?s)^([^?#]*)', 1), '{_NOISE}', '', 'g'),
+  coalesce(array_to_string(list_sort(list_filter(list_transform(string_split_regex(regexp_extract(lower(url), '(?s)^[^?#]*\\?([^#]*)', 1), '[&;]'), lambda q: regexp_replace(q, '{_NOISE}', '', 'g')), lambda q: q != '')), chr(2)), ''),
+  regexp_replace(regexp_extract(lower(url), '(?s)#(.*)$', 1), '{_NOISE}', '', 'g')), '')"""
+#: Rows agree as they stand, or one of them with title and company exchanged; sets are closed over two rounds.
+_COPIES_SQL = f"""
+with k as (select row_id, {_URL_SQL} || chr(3) || {_title_sql("title")} || chr(3) || {_name_sql("company")} as h, {_URL_SQL} || chr(3) || {_title_sql("company")} || chr(3) || {_name_sql("title")} as x from open_jobs where row_id is not null),
+c as (select h, min(row_id) as first, count(*) as n from k group by 1),
+e as (select distinct k.h, k.x from k join c on k.x = c.h where k.h != k.x), l as (select h, x from e union select x, h from e),
+a as (select h, least(h, min(x)) as low from l group by 1), b as (select l.h, min(a.low) as there from l join a on l.x = a.h group by 1),
+r as (select c.h, c.first, c.n, coalesce(least(a.low, b.there), c.h) as root from c left join a on c.h = a.h left join b on c.h = b.h),
+s as (select root, min(first) as first_row_id, sum(n)::bigint as copies from r group by 1)
+"""
+_WORDS_SQL = "list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w != '')"
+
+SQL: dict[str, str] = {
+    "p4_found": _COPIES_SQL + "select s.first_row_id, k.row_id from k join r on k.h = r.h join s on r.root = s.root where k.row_id > s.first_row_id",
+    "p4_copies": _COPIES_SQL + "select first_row_id, copies from s",
+    "p8_found": f"""
+with d as (select doc_id, {_WORDS_SQL} as w from documents where text is not null), i as (select item_id, {_WORDS_SQL} as w from eval_items where text is not null),
+dw as (select doc_id, array_to_string(w[n:n + 9], ' ') as p from (select doc_id, w, unnest(generate_series(1, len(w) - 9)) as n from d where len(w) >= 10)),
+iw as (select item_id, array_to_string(w[n:n + 9], ' ') as p from (select item_id, w, unnest(generate_series(1, len(w) - 9)) as n from i where len(w) >= 10))
+select distinct doc_id, item_id from dw join iw using (p)
+""",
+}

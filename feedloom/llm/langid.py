@@ -36,8 +36,8 @@ SWITCH_BITS = 14.0
 MIXED_SENTENCES = 2
 #: Bits a byte under the best language above which a sentence isn't text of any known language.
 FOREIGN_BITS = 4.6
-#: Letters that a document's words must have in all for it to have a language.
-LEAST_LETTERS = 12
+#: Letters that a sentence must have besides addresses to count; a script without blanks needs fewer.
+LEAST_LETTERS = 8
 #: Bytes scored at once, which bounds the memory of the arrays.
 SLAB_BYTES = 400_000
 #: Names of languages as labels write them (fixed values): ISO 639-1, 639-2 and 639-3 codes, English and own names.
@@ -52,6 +52,7 @@ _SHORT = "ltd inc corp co llp ltée ltee st dr mr mrs sr jr no vs etc"
 _END = re.compile(r"\n+|(?<=[。！？])|(?<=[.!?])\s+")
 _SHORT_END = re.compile(r"(?:^|\W)(?:" + "|".join(_SHORT.split()) + r")\.$|(?:^|\W)\w\.$", re.I)
 _LETTER = re.compile(r"[^\W\d_]")
+_ADDRESS = re.compile(r"https?://\S+|www\.\S+|[\w.+-]+@[\w-]+\.\S+")
 
 
 def label_code(label: str | None) -> str | None:
@@ -85,8 +86,10 @@ def _plain(text: str) -> str:
 
 
 def normal(text: str) -> bytes:
-    """Lower case, numbers as one digit, white space as blanks, in UTF-8 after a leading blank."""
-    return (" " + re.sub(r"\s+", " ", re.sub(r"\d+", "0", text.lower())).strip() + " ").encode("utf-8", "replace")
+    """Lower case, no addresses, numbers as one digit, white space as blanks, in UTF-8 between two blanks."""
+    if "@" in text or "://" in text or "www." in text:
+        text = _ADDRESS.sub(" ", text)
+    return (" " + " ".join(re.sub(r"\d+", "0", text.lower()).split()) + " ").encode("utf-8", "replace")
 
 
 class PPM:
@@ -246,7 +249,7 @@ def segments(texts: list[str], model: PPM) -> Iterator[list[tuple[int, int, str,
             k += len(own)
             known = [
                 i for i, (s, e) in enumerate(own)
-                if bits[i].min() / nbytes[i] <= FOREIGN_BITS and (nbytes[i] > 2 * (e - s) or len(_LETTER.findall(text[s:e])) >= 8)
+                if bits[i].min() / nbytes[i] <= FOREIGN_BITS and (nbytes[i] > 2 * (e - s) or len(_LETTER.findall(_ADDRESS.sub("", text[s:e]))) >= LEAST_LETTERS)
             ]
             out: list[tuple[int, int, str, float, int]] = []
             if known:
