@@ -11,7 +11,7 @@ ROUTE_SCHEMA = "struct<jobs:array<struct<title:string,url:string>>,follow:array<
 
 
 def route(answer: Column) -> Column:
-    """The struct of the widest {...} in a text; null fields where it is no JSON."""
+    """The struct of the widest {...} in a text; null where there is none, null fields where it is no JSON."""
     return F.from_json(F.regexp_extract(answer, r"(?s)\{.*\}", 0), ROUTE_SCHEMA)
 
 

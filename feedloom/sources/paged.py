@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 #: A page of the API: rows from an offset on, and whether more follow.
@@ -49,9 +51,6 @@ def fetched(pages: DataFrame, fetch: Callable[[str], tuple[int, str, str] | None
 
     The fetcher runs in Arrow batches on the executors; materialise the result before reading it twice.
     """
-    import pandas as pd
-    from pyspark.sql import functions as F
-
     @F.pandas_udf("status int, final_url string, text string")
     def call(u: pd.Series) -> pd.DataFrame:
         got = [(fetch(x) if x is not None else None) or (None, None, None) for x in u]
