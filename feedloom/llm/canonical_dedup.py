@@ -5,8 +5,11 @@ a few hashes. A third, independent hash detects different texts that share a 128
 apart, so the result is exact but for a simultaneous collision of 192 bits.
 
 Records whose title and company stand in each other's column are found by a second hash, that of the
-exchanged reading. It links classes of equal records, never records, and the few linked classes are
-settled by two rounds of taking the least neighbour: exchanged classes link to straight ones only.
+exchanged reading. It links classes of equal records, never records. As + and # are letters of titles only,
+a straight record may look like the exchange of an exchanged one; so a record is taken as exchanged only
+if its strings don't stand more often in the columns where it has them than in the other ones. The few
+linked classes are settled by two rounds of taking the least neighbour: exchanged classes link to straight
+ones only.
 """
 
 from __future__ import annotations
@@ -34,31 +37,38 @@ def canonical_title(text: Column) -> Column:
 
 def canonical_url(url: Column) -> Column:
     """Letters and numbers of a url's path part, then of its query fields in sorted order, then of its fragment."""
-    u = F.lower(url)
+    u = F.coalesce(F.lower(url), F.lit(""))
     fields = F.split(F.regexp_extract(u, r"(?s)^[^?#]*\?([^#]*)", 1), "[&;]")
     clean = F.filter(F.transform(fields, lambda q: F.regexp_replace(q, NOISE, "")), lambda q: q != "")
     parts = (F.regexp_extract(u, r"(?s)^([^?#]*)", 1), F.regexp_extract(u, r"(?s)#(.*)$", 1))
-    return F.coalesce(F.concat_ws("\u0001", F.regexp_replace(parts[0], NOISE, ""), F.array_join(F.array_sort(clean), "\u0002"), F.regexp_replace(parts[1], NOISE, "")), F.lit(""))
+    return F.concat_ws("\u0001", F.regexp_replace(parts[0], NOISE, ""), F.array_join(F.array_sort(clean), "\u0002"), F.regexp_replace(parts[1], NOISE, ""))
 
 
 def _hashed(df: DataFrame, row_id: str, url: str, title: str, company: str) -> DataFrame:
     """``row_id``, the hash ``h`` of each row as it stands, and ``x``: its hash with title and company exchanged.
 
-    A hash is 128 bits of MD5 followed by the 64 bits of another hash as collision check.
+    A hash is 128 bits of MD5 followed by the 64 bits of another hash as collision check. ``tn`` and ``cn``
+    are short hashes of title and company as names, used for counts only.
     """
     rows = df.select(
         F.col(f"`{row_id}`").alias("row_id"), canonical_url(F.col(f"`{url}`")).alias("u"), F.col(f"`{title}`").alias("t"), F.col(f"`{company}`").alias("c")
     ).where(F.col("row_id").isNotNull())
     key = lambda a, b: F.concat_ws("\u0003", "u", canonical_title(F.col(a)), canonical_name(F.col(b)))
-    keyed = rows.select("row_id", key("t", "c").alias("k"), key("c", "t").alias("other"))
+    keyed = rows.select("row_id", key("t", "c").alias("k"), key("c", "t").alias("other"), F.xxhash64(canonical_name(F.col("t"))).alias("tn"), F.xxhash64(canonical_name(F.col("c"))).alias("cn"))
     checked = lambda k: F.unhex(F.concat(F.md5(k), F.lpad(F.hex(F.xxhash64(k)), 16, "0")))
-    return keyed.select("row_id", checked("k").alias("h"), checked("other").alias("x"))
+    return keyed.select("row_id", checked("k").alias("h"), checked("other").alias("x"), "tn", "cn")
 
 
 def _classes(rows: DataFrame) -> DataFrame:
     """``h, first_row_id, copies, root``: classes of rows that agree as they stand; ``root`` joins exchanged ones."""
     classes = rows.groupBy("h").agg(F.min("row_id").alias("first_row_id"), F.count("*").alias("copies"))
-    exchanged = rows.where("h != x").select("h", "x").distinct().join(classes.select(F.col("h").alias("x")), "x")
+    maybe = cut(rows.where("h != x").select("h", "x", "tn", "cn").distinct().join(classes.select(F.col("h").alias("x")), "x"))
+    # how often each of their strings stands as title and as company; few strings, so the rows shrink before they are counted
+    wanted = maybe.select(F.explode(F.array("tn", "cn")).alias("n")).distinct()
+    places = rows.select(F.inline(F.array(F.struct(F.col("tn").alias("n"), F.lit(1).alias("t"), F.lit(0).alias("c")), F.struct(F.col("cn").alias("n"), F.lit(0).alias("t"), F.lit(1).alias("c")))))
+    counts = places.join(wanted, "n", "left_semi").groupBy("n").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+    judged = maybe.join(counts.toDF("tn", "tt", "tc"), "tn").join(counts.toDF("cn", "ct", "cc"), "cn")
+    exchanged = judged.where("tc + ct >= tt + cc")
     links = cut(exchanged.select("h", "x").unionByName(exchanged.select(F.col("x").alias("h"), F.col("h").alias("x"))).distinct())
     once = links.groupBy("h").agg(F.least("h", F.min("x")).alias("low"))
     twice = links.join(once.select(F.col("h").alias("x"), F.col("low").alias("there")), "x").groupBy("h").agg(F.min("there").alias("there"))

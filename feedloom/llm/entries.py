@@ -91,14 +91,19 @@ def _title_sql(x: str) -> str:
     return f"coalesce(array_to_string(list_sort(list_filter(string_split_regex(lower({x}), '{_TITLE_NOISE}'), lambda w: w != '')), ' '), '')"
 
 
-_URL_SQL = f"""coalesce(concat_ws(chr(1), regexp_replace(regexp_extract(lower(url), '(?s)^([^?#]*)', 1), '{_NOISE}', '', 'g'),
-  coalesce(array_to_string(list_sort(list_filter(list_transform(string_split_regex(regexp_extract(lower(url), '(?s)^[^?#]*\\?([^#]*)', 1), '[&;]'), lambda q: regexp_replace(q, '{_NOISE}', '', 'g')), lambda q: q != '')), chr(2)), ''),
-  regexp_replace(regexp_extract(lower(url), '(?s)#(.*)$', 1), '{_NOISE}', '', 'g')), '')"""
+_LOW_URL = "coalesce(lower(url), '')"
+_URL_SQL = f"""concat_ws(chr(1), regexp_replace(regexp_extract({_LOW_URL}, '(?s)^([^?#]*)', 1), '{_NOISE}', '', 'g'),
+  coalesce(array_to_string(list_sort(list_filter(list_transform(string_split_regex(regexp_extract({_LOW_URL}, '(?s)^[^?#]*\\?([^#]*)', 1), '[&;]'), lambda q: regexp_replace(q, '{_NOISE}', '', 'g')), lambda q: q != '')), chr(2)), ''),
+  regexp_replace(regexp_extract({_LOW_URL}, '(?s)#(.*)$', 1), '{_NOISE}', '', 'g'))"""
 #: Rows agree as they stand, or one of them with title and company exchanged; sets are closed over two rounds.
 _COPIES_SQL = f"""
-with k as (select row_id, {_URL_SQL} || chr(3) || {_title_sql("title")} || chr(3) || {_name_sql("company")} as h, {_URL_SQL} || chr(3) || {_title_sql("company")} || chr(3) || {_name_sql("title")} as x from open_jobs where row_id is not null),
+with k as (select row_id, {_name_sql("title")} as tn, {_name_sql("company")} as cn, {_URL_SQL} || chr(3) || {_title_sql("title")} || chr(3) || {_name_sql("company")} as h,
+  {_URL_SQL} || chr(3) || {_title_sql("company")} || chr(3) || {_name_sql("title")} as x from open_jobs where row_id is not null),
 c as (select h, min(row_id) as first, count(*) as n from k group by 1),
-e as (select distinct k.h, k.x from k join c on k.x = c.h where k.h != k.x), l as (select h, x from e union select x, h from e),
+tt as (select tn as s, count(*) as n from k group by 1), cc as (select cn as s, count(*) as n from k group by 1),
+e as (select distinct k.h, k.x from k join c on k.x = c.h left join cc a on a.s = k.tn left join tt b on b.s = k.cn join tt p on p.s = k.tn join cc q on q.s = k.cn
+      where k.h != k.x and coalesce(a.n, 0) + coalesce(b.n, 0) >= p.n + q.n),
+l as (select h, x from e union select x, h from e),
 a as (select h, least(h, min(x)) as low from l group by 1), b as (select l.h, min(a.low) as there from l join a on l.x = a.h group by 1),
 r as (select c.h, c.first, c.n, coalesce(least(a.low, b.there), c.h) as root from c left join a on c.h = a.h left join b on c.h = b.h),
 s as (select root, min(first) as first_row_id, sum(n)::bigint as copies from r group by 1)

@@ -35,8 +35,9 @@ from feedloom.plans.lineage import cut
 RULES = ("host_and_name", "name", "host_and_spelling", "spelling", "words", "words_spelling", "host", "slug")
 #: Characters to which job boards clip the name in their urls.
 SLUG = 18
-#: Length of own words from which two letters may be taken out.
-TWO = 8
+#: Length of own words from which two letters may be taken out, and up to which; and up to which one may.
+#: Longer names (no organisation is called so) match exactly only.
+TWO, TWO_MOST, ONE_MOST = 8, 40, 120
 
 
 def site(url: Column) -> Column:
@@ -76,9 +77,9 @@ def _words(core: Column) -> Column:
 
 
 def deletion_keys(word: str) -> set[str]:
-    """``word`` and what is left of it without one letter, from TWO letters on also without two."""
+    """``word`` and what is left of it without one letter, from TWO to TWO_MOST letters also without two."""
     out = {word}
-    for k in range(1, 3 if len(word) >= TWO else 2 if len(word) >= 5 else 1):
+    for k in range(1, 3 if TWO <= len(word) <= TWO_MOST else 2 if 5 <= len(word) <= ONE_MOST else 1):
         out |= {"".join(word[i] for i in range(len(word)) if i not in gone) for gone in combinations(range(len(word)), k)}
     return out
 
