@@ -279,6 +279,6 @@ def residue(df: DataFrame, fields: tuple[str, ...] = ("title", "description"), r
     return rows.mapInArrow(run, f"row_id {kind}, field string").withColumnRenamed("row_id", row_id)
 
 
-def without_residue(df: DataFrame, fields: tuple[str, ...] = ("title", "description"), row_id: str = "row_id") -> DataFrame:
+def without_residue(df: DataFrame, fields: tuple[str, ...] = ("title", "description"), row_id: str = "row_id", model: Model | None = None) -> DataFrame:
     """``df`` without the rows that have a case in any field; rows with a null id stay."""
-    return df.join(residue(df, fields, row_id).select(row_id).distinct(), row_id, "left_anti")
+    return df.join(residue(df, fields, row_id, model).select(row_id).distinct(), row_id, "left_anti")
