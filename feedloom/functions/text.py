@@ -64,9 +64,8 @@ def pick_title(anchor: Column, h1: Column, page_title: Column, structured: Colum
     )
 
 
-def count_words(text: Column, words: Sequence[str]) -> Column:
-    """Non-overlapping occurrences of all ``words`` in the lower-cased text together."""
-    low = F.lower(text)
+def count_words(low: Column, words: Sequence[str]) -> Column:
+    """Non-overlapping occurrences of all ``words`` in a lower-cased text together."""
     size = lambda w: ((F.length(low) - F.length(F.replace(low, F.lit(w), F.lit("")))) / len(w)).cast("int")
     out = size(words[0])
     for w in words[1:]:
@@ -74,12 +73,12 @@ def count_words(text: Column, words: Sequence[str]) -> Column:
     return out
 
 
-def careers_score(url: Column, page: Column) -> Column:
-    """0 to 17 points: board embeds 5, careers words up to 6, a careers path 3, apply links up to 3."""
-    low = F.lower(page)
+def careers_score(url: Column, low: Column) -> Column:
+    """0 to 17 points for a page's lower-cased text: board embeds 5, careers words up to 6, a careers path 3,
+    apply links up to 3."""
     return (
-        F.when(rules.contains_any(page, rules.MAPPER_HOSTS), 5).otherwise(0)
-        + F.least(count_words(page, rules.CAREERS_WORDS), F.lit(6))
+        F.when(rules.contains_any(low, rules.MAPPER_HOSTS, lowered=True), 5).otherwise(0)
+        + F.least(count_words(low, rules.CAREERS_WORDS), F.lit(6))
         + F.when(F.lower(urls.path_of(url)).rlike(rules.CAREERS_PATH), 3).otherwise(0)
         + F.least(F.floor(F.regexp_count(low, F.lit(rules.APPLY_LINKS)) / 3).cast("int"), F.lit(3))
     )

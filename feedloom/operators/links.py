@@ -65,5 +65,7 @@ def scored(pages: DataFrame) -> DataFrame:
     """``pages`` (company, ord, url, why, text) with their score; boards count 10, weak and bounced pages go."""
     is_board = rules.contains_any(F.col("url"), rules.MAPPER_HOSTS)
     bounced = (F.regexp_replace(urls.path_of(F.col("url")), r"/+$", "") == "") & (F.col("why") == "path-probe")
-    score = F.when(is_board, 10).otherwise(text.careers_score(F.col("url"), F.col("text")))
-    return pages.withColumn("score", score).where(is_board | (~bounced & (F.col("score") >= 4)))
+    score = F.when(is_board, 10).when(bounced, -1).otherwise(text.careers_score(F.col("url"), F.col("low_text")))
+    # the generators keep the text from being lowered for every word, and the score from being computed again in the filter
+    lowered = pages.select("*", F.explode(F.array(F.lower("text"))).alias("low_text"))
+    return lowered.select(*pages.columns, F.explode(F.array(score)).alias("score")).where("score >= 4")
