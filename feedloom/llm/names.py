@@ -37,7 +37,7 @@ HOT = 1_000
 MAX_GRAMS = 200_000
 #: Trades of which the counts are kept (the most frequent), and towns.
 MAX_TRADES, MAX_PLACES = 20_000, 5_000
-#: Nodes of a component that are clustered in one matrix; larger ones are cut at higher cosines first.
+#: Nodes of a component that are clustered over a matrix; larger ones are clustered over sums of vectors.
 MAX_MATRIX = 1_500
 
 
@@ -221,6 +221,11 @@ def links(nodes: DataFrame) -> DataFrame:
     return keep.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "cosine").distinct()
 
 
+def _fit(given: str, trade: str, given_: str, trade_: str, whole: set[str]) -> bool:
+    """Whether given names and trades of two nodes of a component can be one organisation's."""
+    return same_given(given, given_) and (trade == trade_ or ((trade not in whole or trade_ not in whole) and (set(trade.split()) <= set(trade_.split()) or set(trade_.split()) <= set(trade.split()))))
+
+
 def average_linkage(nodes: list[tuple[str, str, str, str]], vectors: Vectors, whole: set[str], least: float = LINKAGE) -> list[int]:
     """The cluster number of each of a component's nodes (node, core, given, trade)."""
     n = len(nodes)
@@ -231,8 +236,7 @@ def average_linkage(nodes: list[tuple[str, str, str, str]], vectors: Vectors, wh
         _, core, given, trade = nodes[i]
         for j in range(i):
             _, other, given_, trade_ = nodes[j]
-            fit = same_given(given, given_) and (trade == trade_ or ((trade not in whole or trade_ not in whole) and (set(trade.split()) <= set(trade_.split()) or set(trade_.split()) <= set(trade.split()))))
-            sim[i][j] = sim[j][i] = vectors.cosine(core, other) if fit else 0.0
+            sim[i][j] = sim[j][i] = vectors.cosine(core, other) if _fit(given, trade, given_, trade_, whole) else 0.0
     groups = {i: [i] for i in range(n)}
     while len(groups) > 1:
         top = max(((sim[i][j], -i, -j) for i in groups for j in groups if j < i))
@@ -250,24 +254,66 @@ def average_linkage(nodes: list[tuple[str, str, str, str]], vectors: Vectors, wh
     return out
 
 
-def _parts(nodes: list[tuple[str, str, str, str]], vectors: Vectors) -> list[list[tuple[str, str, str, str]]]:
-    """A component in parts of at most MAX_MATRIX nodes: cut between neighbours in core order at rising cosines."""
-    parts, least = [sorted(nodes, key=lambda x: x[1])], 0.5
-    while any(len(p) > MAX_MATRIX for p in parts):
-        new = []
-        for p in parts:
-            if len(p) <= MAX_MATRIX:
-                new.append(p)
-                continue
-            run = [p[0]]
-            for before, x in zip(p, p[1:]):
-                if vectors.cosine(before[1], x[1]) < least or (least >= 1 and len(run) >= MAX_MATRIX):
-                    new.append(run)
-                    run = []
-                run.append(x)
-            new.append(run)
-        parts, least = new, least + 0.1
-    return parts
+def chained_linkage(nodes: list[tuple[str, str, str, str]], vectors: Vectors, whole: set[str], least: float = LINKAGE) -> list[int]:
+    """The clusters of ``average_linkage`` without its matrix, by chains of nearest neighbours.
+
+    The sum of the cosines between two clusters is the product of their summed vectors, which are kept for each
+    given name and trade, as nodes whose parts don't fit count 0. No pair is left out; memory grows with the nodes,
+    time with their square. Clusters that are each other's nearest can be joined in any order with average linkage,
+    and one whose nearest is below ``least`` never comes nearer to any.
+    """
+    kinds: dict[tuple[str, str], int] = {}
+    for _, _, given, trade in nodes:
+        kinds.setdefault((given, trade), len(kinds))
+    fits = [[d for (given_, trade_), d in kinds.items() if _fit(given, trade, given_, trade_, whole)] for given, trade in kinds]
+    groups = {i: [i] for i in range(len(nodes))}
+    sums = {i: {(kinds[given, trade], g): x for g, x in vectors.of(core).items()} for i, (_, core, given, trade) in enumerate(nodes)}
+    index: dict[tuple[int, str], dict[int, float]] = defaultdict(dict)
+    for i, v in sums.items():
+        for key, x in v.items():
+            index[key][i] = x
+
+    def nearest(i: int, before: int | None) -> int | None:
+        total: dict[int, float] = defaultdict(float)
+        for (c, g), x in sums[i].items():
+            for d in fits[c]:
+                for k, y in index.get((d, g), {}).items():
+                    total[k] += x * y
+        total.pop(i, None)
+        mean = {k: t / (len(groups[i]) * len(groups[k])) for k, t in total.items()}
+        top = max(mean.values(), default=0.0)
+        if top < least:
+            return None
+        # rounding must not send a chain in circles
+        return before if before is not None and mean.get(before, 0.0) >= top - 1e-9 else min(k for k, m in mean.items() if m >= top - 1e-9)
+
+    def leave(i: int) -> dict[tuple[int, str], float]:
+        for key in sums[i]:
+            del index[key][i]
+        return sums.pop(i)
+
+    chain: list[int] = []
+    while sums:
+        if not chain:
+            chain.append(min(sums))
+        i, before = chain[-1], chain[-2] if len(chain) > 1 else None
+        k = nearest(i, before)
+        if k is None:
+            leave(i)
+            chain.pop()
+        elif k != before:
+            chain.append(k)
+        else:
+            del chain[-2:]
+            i, j = max(i, k), min(i, k)
+            for key, x in leave(i).items():
+                sums[j][key] = index[key][j] = sums[j].get(key, 0.0) + x
+            groups[j] += groups.pop(i)
+    out = [0] * len(nodes)
+    for c, members in groups.items():
+        for m in members:
+            out[m] = c
+    return out
 
 
 def clusters(names: DataFrame, places: frozenset[str] = frozenset()) -> DataFrame:
@@ -284,11 +330,11 @@ def clusters(names: DataFrame, places: frozenset[str] = frozenset()) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def judged(members: list[tuple[str, str, str, str]]) -> Iterator[tuple[str, str]]:
-            for part in _parts(members, vectors.value):
-                own = average_linkage(part, vectors.value, whole.value) if len(part) > 1 else [0]
-                first = {}
-                for m, c in zip(part, own):
-                    yield m[0], first.setdefault(c, m[0])
+            linkage = average_linkage if len(members) <= MAX_MATRIX else chained_linkage
+            members = sorted(members, key=lambda x: x[1])
+            first = {}
+            for m, c in zip(members, linkage(members, vectors.value, whole.value)):
+                yield m[0], first.setdefault(c, m[0])
 
         out: list[tuple[str, str]] = []
         key, members = None, []

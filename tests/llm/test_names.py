@@ -64,6 +64,29 @@ def test_average_linkage_breaks_chains():
     assert N.average_linkage(nodes, N.Vectors({}, 10), {"robotics"}) == [0, 0, 2]
 
 
+def test_large_components_lose_no_spelling(spark, rows, monkeypatch):
+    # reordered words, a leading word left out and errors in the first letters are no neighbours in the order of letters
+    data = spark.createDataFrame([(f"{n} Robotics",) for n in ("Grukre Flosjun Vomilte", "Vomilte Grukre Flosjun", "Flosjun Vomilte Grukre", "Rgukre Flosjun Vomilte", "Grukre Flosjun Vomitle", "Grukreflosjun Vomilte", "Ozdarwin Plemt", "Ozdarwin Plemtt")], "n string")
+    whole = rows(N.same_organisation(data))
+    assert len(whole) == 15 + 1
+    monkeypatch.setattr(N, "MAX_MATRIX", 3)
+    assert rows(N.same_organisation(data)) == whole
+
+
+def test_chained_linkage_finds_the_clusters_of_the_matrix():
+    import random
+
+    rng = random.Random(3)
+    for n in (3, 40, 90):
+        # every core once and counts that are no whole numbers, so no two means are equal
+        cores = sorted({"".join(rng.choice(["gru", "kre", "flo", "sjun", "vom", "ilte", "ple"]) for _ in range(rng.randint(2, 5))) for _ in range(n)})
+        nodes = [(c, c, rng.choice(["", "", "joseph", "james"]), rng.choice(["robotics", "marine", ""])) for c in cores]
+        v = N.Vectors({g: 1 + 30 * rng.random() for c in cores for g in N.grams(c)}, 100)
+        for least in (0.1, 0.3, 0.6):
+            found = N.average_linkage(nodes, v, {"robotics", "marine"}, least)
+            assert N.chained_linkage(nodes, v, {"robotics", "marine"}, least) == found and 1 < len(set(found))
+
+
 def test_components(spark, rows):
     chain = [(f"n{i:02d}", f"n{i + 1:02d}") for i in range(20)] + [("z", "y"), ("q", "q"), (None, "n01"), ("z", "y")]
     got = components(spark.createDataFrame(chain, "a string, b string"))
