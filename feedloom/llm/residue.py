@@ -9,11 +9,13 @@ Trusted are spans in syntaxes that no prose uses, the passages of seed records b
 strict pattern recognises. Passages have two positive classes: notes to the author, which spoil a text
 wherever they stand, and filler or messages, which make a record a case when they carry most of it.
 
-The model is fitted on a bounded sample; scoring runs over all rows in one pass without a shuffle.
+The model is fitted on all rows: in the driver if they are few, else by counts on the executors, of which only
+those of features that positive units hold come to the driver. Scoring is one more pass without a shuffle.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections import Counter, defaultdict
@@ -23,7 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Values of each field read for fitting, at most (about): the documented bound of the fit.
+from feedloom.plans.lineage import cut
+
+#: Rows up to which the values of a field are fitted in the driver; larger tables are counted by the executors.
 FIT_ROWS = {"title": 30_000, "description": 4_000}
 #: Rounds of expectation-maximisation, the weight of an unlabelled unit's positive share against a trusted one's,
 #: and the prior probability of a positive unit, which isn't fitted: else the classes drift.
@@ -32,6 +36,8 @@ ROUNDS, UNLABELLED, PRIOR = 4, 0.2, 0.02
 SMOOTH, SURE_SHARE = 2.0, 0.9
 #: Units that a task remembers the score of before it starts anew.
 CACHE_UNITS = 200_000
+#: Units that a task counts before it hands them on, and unlabelled positive units that may be sent to all tasks.
+COUNTED, MAX_SENT = 50_000, 500_000
 #: Share of a text's letters that filler or messages must carry to make it a case.
 MOST = 0.5
 
@@ -122,6 +128,7 @@ class Bayes:
         rounds: int = ROUNDS,
         agree: Callable[[dict[tuple[str, ...], float]], dict[tuple[str, ...], float]] | None = None,
     ):
+        self.rest = 0.0
         share = {u: 1.0 if u in trusted else 0.0 for u in (*units, *trusted)}
         # copies of a unit say little more than one
         weight = {u: 1 + math.log(max(units.get(u, 0.0), 1.0)) for u in share}
@@ -135,10 +142,7 @@ class Bayes:
                     mass[k] += own[k]
                     for f in u:
                         count[f][k] += own[k]
-            self.weights = {}
-            for f, c in count.items():
-                back = SMOOTH * (c[0] + c[1]) / (mass[0] + mass[1])
-                self.weights[f] = math.log((c[1] + back) / (mass[1] + SMOOTH)) - math.log((c[0] + back) / (mass[0] + SMOOTH))
+            self._weigh(count, mass)
             if last:
                 share = {u: 1.0 if u in trusted else self.posterior(u) for u in share}
                 if agree:
@@ -147,10 +151,26 @@ class Bayes:
                 # the classes differ in size so much that small shares of real units would teach the small class
                 share = {u: p if p >= SURE_SHARE else 0.0 for u, p in share.items()}
 
+    @classmethod
+    def counted(cls, count: dict[str, list[float]], mass: list[float], prior: float) -> Bayes:
+        """The model of counts in both classes, of the features that positive units hold; all others have the weight ``rest``."""
+        self = cls.__new__(cls)
+        self.base = math.log(prior / (1 - prior))
+        self._weigh(count, mass)
+        # a feature of unlabelled units alone has the same weight however often it occurs
+        self.rest = math.log(SMOOTH / (mass[0] + mass[1] + SMOOTH)) - math.log((mass[1] + SMOOTH) / (mass[0] + SMOOTH))
+        return self
+
+    def _weigh(self, count: dict[str, list[float]], mass: list[float]) -> None:
+        self.weights = {}
+        for f, c in count.items():
+            back = SMOOTH * (c[0] + c[1]) / (mass[0] + mass[1])
+            self.weights[f] = math.log((c[1] + back) / (mass[1] + SMOOTH)) - math.log((c[0] + back) / (mass[0] + SMOOTH))
+
     def odds(self, unit: tuple[str, ...]) -> float:
-        """Logarithm of the odds of the positive class; unknown features say nothing."""
-        weights = self.weights
-        return self.base + sum(weights.get(f, 0.0) for f in unit)
+        """Logarithm of the odds of the positive class; features that weren't fitted say nothing, or ``rest`` if counted."""
+        weights, rest = self.weights, self.rest
+        return self.base + sum(weights.get(f, rest) for f in unit)
 
     def posterior(self, unit: tuple[str, ...]) -> float:
         return 1 / (1 + math.exp(-max(-60.0, min(60.0, self.odds(unit)))))
@@ -169,6 +189,11 @@ def _agreement(records: list[list[tuple[tuple[str, ...], int]]], share: dict[tup
     return {u: a / b for u, (a, b) in total.items()}
 
 
+def _seeds() -> dict[tuple[str, ...], int]:
+    """The units of the seed records with their classes."""
+    return {_features(p): kind for kind, block in SEEDS.items() for record in block.replace("\n", "|").split("|") for p in passages(record) or [record]}
+
+
 class Model:
     """Both models and the decision on a field."""
 
@@ -176,11 +201,7 @@ class Model:
         span_units: Counter = Counter()
         span_trust: dict[tuple[str, ...], int] = {_span_features(*s.split(" ", 1)): 1 for s in SPAN_SEEDS}
         units: Counter = Counter()
-        trusted: dict[tuple[str, ...], int] = {}
-        for kind, block in SEEDS.items():
-            for record in block.replace("\n", "|").split("|"):
-                for p in passages(record) or [record]:
-                    trusted[_features(p)] = kind
+        trusted = _seeds()
         records: list[list[tuple[tuple[str, ...], int]]] = []
         known: dict[str, tuple[str, ...]] = {}
         for text in texts:
@@ -208,6 +229,12 @@ class Model:
         self._spans: dict[tuple[str, str], bool] = {}
         self._prose: dict[str, int] = {}
 
+    @classmethod
+    def counted(cls, spans: Bayes, prose: Bayes, notes: Bayes) -> Model:
+        self = cls.__new__(cls)
+        self.spans, self.prose, self.notes, self._spans, self._prose = spans, prose, notes, {}, {}
+        return self
+
     def span_is_residue(self, kind: str, inner: str) -> bool:
         if kind in SURE:
             return True
@@ -242,17 +269,156 @@ class Model:
         return bad > MOST * total
 
 
+def _units(texts: DataFrame) -> DataFrame:
+    """``what, key, hash, n, trust, hashes, letters``: counts of the span (s) and passage (p) units, and records (r) of passages."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        units: dict[tuple[str, str, int], int] = {}
+        records: Counter = Counter()
+        known: dict[str, tuple[tuple[str, str, int], int]] = {}
+
+        def hashed(key: str) -> int:
+            return int.from_bytes(hashlib.blake2b(key.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+        def flush() -> pa.RecordBatch:
+            u, r = list(units.items()), list(records.items())
+            cols = (
+                pa.array([k[0] for k, _ in u] + ["r"] * len(r), pa.string()), pa.array([k[1] for k, _ in u] + [None] * len(r), pa.string()),
+                pa.array([hashed(k[1]) for k, _ in u] + [None] * len(r), pa.int64()), pa.array([n for _, n in u] + [n for _, n in r], pa.int64()),
+                pa.array([k[2] for k, _ in u] + [None] * len(r), pa.int32()), pa.array([None] * len(u) + [[h for h, _ in k] for k, _ in r], pa.list_(pa.int64())),
+                pa.array([None] * len(u) + [[n for _, n in k] for k, _ in r], pa.list_(pa.int32())),
+            )
+            units.clear()
+            records.clear()
+            return pa.RecordBatch.from_arrays(list(cols), names=["what", "key", "hash", "n", "trust", "hashes", "letters"])
+
+        for batch in batches:
+            for column in batch.columns:
+                for text in column.to_pylist():
+                    if text is None:
+                        continue
+                    for kind, inner in spans(text):
+                        u = ("s", "\n".join(_span_features(kind, inner)), int(kind in SURE or bool(_TRUST_SPAN.search(inner))))
+                        units[u] = units.get(u, 0) + 1
+                    record = []
+                    for p in passages(text):
+                        found = known.get(p)
+                        if found is None:
+                            key = "\n".join(_features(p))
+                            trust = next((kind for kind, pattern in _TRUST.items() if pattern.search(p)), 0)
+                            found = known[p] = (("p", key, trust), hashed(key))
+                        units[found[0]] = units.get(found[0], 0) + 1
+                        record.append((found[1], len(p)))
+                    if record:
+                        records[tuple(record)] += 1
+                    if len(units) + len(records) > COUNTED:
+                        yield flush()
+                    if len(known) > CACHE_UNITS:
+                        known = {}
+        yield flush()
+
+    return texts.mapInArrow(run, "what string, key string, hash bigint, n bigint, trust int, hashes array<bigint>, letters array<int>")
+
+
+def _by_feature(units: DataFrame, **sums: object) -> dict[str, tuple[float, ...]]:
+    """Sums over the units that hold each feature; those over all units at the empty feature."""
+    each = units.select(F.explode(F.concat(F.array(F.lit("")), F.split("key", "\n"))).alias("f"), *[c.cast("double").alias(k) for k, c in sums.items()])
+    return {r["f"]: tuple(r[k] or 0.0 for k in sums) for r in each.groupBy("f").agg(*[F.sum(k).alias(k) for k in sums]).collect()}
+
+
+def _fitted(units: DataFrame, trusted: dict[str, tuple[float, ...]], prior: float, parts: DataFrame | None = None) -> Bayes:
+    """``Bayes`` of the units ``key, hash, weight, trust``; ``trusted`` has the trusted weight of each feature.
+
+    Units below SURE_SHARE count as real text, so the counts of a round are those of all units less those of its
+    positive ones. ``parts`` are the passages ``record, n, hash, letters`` of all records, for their agreement.
+    """
+    sc = units.sparkSession.sparkContext
+    total: dict[str, float] = {}
+
+    def count_all(wanted: set[str]) -> None:
+        shared = sc.broadcast(wanted)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own: dict[str, float] = defaultdict(float)
+            for batch in batches:
+                for key, weight in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    own[""] += weight
+                    for f in shared.value.intersection(key.split("\n")):
+                        own[f] += weight
+            yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.string()), pa.array(list(own.values()), pa.float64())], names=["f", "weight"])
+
+        rows = units.select("key", "weight").mapInArrow(run, "f string, weight double").groupBy("f").agg(F.sum("weight").alias("weight")).collect()
+        total.update({r["f"]: r["weight"] for r in rows})
+
+    sure: dict[str, tuple[float, ...]] = {}
+    for last in range(ROUNDS, -1, -1):
+        if new := (trusted.keys() | sure.keys() | {""}) - total.keys():
+            count_all(new)
+        count = {}
+        for f in trusted.keys() | sure.keys() | {""}:
+            t, s = trusted.get(f, (0.0,))[0], sure.get(f, (0.0,))[0]
+            count[f] = [max(total.get(f, 0.0) - t - s, 0.0), t + UNLABELLED * s]
+        mass = [1 + x for x in count.pop("")]
+        model = Bayes.counted(count, mass, prior)
+        if not last:
+            break
+        shared = sc.broadcast(model)
+
+        def score(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            own = shared.value
+            for batch in batches:
+                keys, trust = batch.column(1).to_pylist(), batch.column(3).to_pylist()
+                p = [1.0 if t else own.posterior(k.split("\n")) for k, t in zip(keys, trust)]
+                top = [k if x >= SURE_SHARE and not t else None for k, x, t in zip(keys, p, trust)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(top, pa.string()), batch.column(2), pa.array(p, pa.float64())], names=["hash", "key", "weight", "p"])
+
+        scored = cut(units.select("hash", "key", "weight", "trust").mapInArrow(score, "hash bigint, key string, weight double, p double"))
+        found = scored.where("key is not null")
+        n = found.count()
+        if not n:
+            break  # no unit but the trusted ones is positive, so the next rounds are the same
+        if parts is not None:
+            hashes = found.select("hash")
+            hashes = F.broadcast(hashes) if n <= MAX_SENT else hashes
+            records = parts.join(hashes, "hash", "left_semi").select("record").distinct()
+            own = parts.join(records, "record", "left_semi").join(scored.select("hash", "p", F.col("key").isNotNull().alias("top")), "hash")
+            sums = own.groupBy("record").agg(F.sum("letters").alias("all"), F.sum(F.col("letters") * F.col("p")).alias("bad"))
+            others = F.when(F.col("all") > F.col("letters"), (F.col("bad") - F.col("letters") * F.col("p")) / (F.col("all") - F.col("letters"))).otherwise(1.0)
+            factors = own.where("top").join(sums, "record").groupBy("hash").agg((F.sum(others * F.col("n")) / F.sum("n")).alias("factor"))
+            found = found.join(factors, "hash").withColumn("p", F.col("p") * F.col("factor"))
+        sure = _by_feature(found.where(F.col("p") >= SURE_SHARE), s=F.col("p") * F.col("weight"))
+    return model
+
+
 def fit(df: DataFrame, fields: tuple[str, ...], row_id: str, rows: dict[str, int] | None = None) -> Model:
-    """The model of about as many values of each field as ``rows`` says, those whose row ids hash lowest."""
+    """The model of all values of the fields. A table of more rows than ``rows`` says for any field is counted by the executors.
+
+    Such a model takes features that its table doesn't have for those of real text.
+    """
     rows = FIT_ROWS if rows is None else rows
-    n = df.count()
-    texts: list[str] = []
-    for field in fields:
-        taken = df.select(df[field].alias("text")).where(df[field].isNotNull())
-        if n > (most := rows.get(field, min(rows.values()))):
-            taken = taken.where(F.xxhash64(df[row_id]) < F.lit(int(-(2**63) + (2**64) * (most / n))))
-        texts += [r["text"] for r in taken.collect()]
-    return Model(texts)
+    if df.count() <= min(rows.get(f, min(rows.values())) for f in fields):
+        return Model([r["text"] for f in fields for r in df.select(df[f].alias("text")).where(df[f].isNotNull()).collect()])
+    spark = df.sparkSession
+    out = cut(_units(df.select(*[df[f] for f in fields])))
+
+    def units(what: str, seeds: dict[tuple[str, ...], int]) -> DataFrame:
+        given = spark.createDataFrame([("\n".join(f), kind) for f, kind in seeds.items()], "key string, seed int")
+        own = out.where(F.col("what") == what).groupBy("key").agg(F.sum("n").alias("n"), F.max("trust").alias("trust"), F.first("hash").alias("hash"))
+        both = own.join(F.broadcast(given), "key", "left").withColumn("trust", F.coalesce("seed", "trust")).drop("seed")
+        rest = given.join(own.select("key"), "key", "left_anti").select("key", F.lit(0).cast("bigint").alias("n"), F.col("seed").alias("trust"), F.lit(None).cast("bigint").alias("hash"))
+        both = both.unionByName(rest)
+        return cut(both.select("key", "hash", (1 + F.log(F.greatest(F.coalesce("n", F.lit(1)), F.lit(1)))).alias("weight"), "trust"))
+
+    marked = units("s", {_span_features(*x.split(" ", 1)): 1 for x in SPAN_SEEDS})
+    prose = units("p", _seeds())
+    trusted = _by_feature(prose.where("trust > 0"), weight=F.col("weight"), filler=F.col("trust") == FILLER, note=F.col("trust") == NOTE)
+    notes = {f: [c[1], c[2]] for f, c in trusted.items()}
+    filler, note = notes.pop("")
+    of_notes = Bayes.counted(notes, [1 + filler, 1 + note], note / (filler + note))
+    of_notes.rest = 0.0  # features without a trusted unit are unknown to it
+    parts = out.where("what = 'r'").select(F.monotonically_increasing_id().alias("record"), "n", F.explode(F.arrays_zip("hashes", "letters")).alias("x"))
+    parts = parts.select("record", "n", "x.hashes", "x.letters").withColumnRenamed("hashes", "hash")
+    return Model.counted(_fitted(marked, _by_feature(marked.where("trust > 0"), weight=F.col("weight")), 0.3), _fitted(prose, trusted, PRIOR, parts), of_notes)
 
 
 def residue(df: DataFrame, fields: tuple[str, ...] = ("title", "description"), row_id: str = "row_id", model: Model | None = None) -> DataFrame:

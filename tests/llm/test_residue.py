@@ -41,3 +41,19 @@ def test_rows(spark, rows, model):
     assert {(1, "title"), (5, "title"), (5, "description")} <= set(rows(R.residue(df)))  # fitted on these rows themselves
     assert R.residue(df.limit(0)).count() == 0
     assert sorted(r["row_id"] or 0 for r in R.without_residue(df, model=model).collect()) == [0, 2, 3]
+
+
+def test_large_tables_are_fitted_whole(spark):
+    rare = "Kindly reload: lorem glitch in the harbour widget"
+    texts = [REAL[i % 8] + f"\nBoat {'abcdefgh'[i % 8]} {'stuvw'[i % 5]} sails." for i in range(80)] + BAD + [rare, "Harbour widget glitch, kindly reload", "{start date}", "{{start date}}"]
+    df = spark.createDataFrame([(i, "Clerk" if i % 2 else None, x) for i, x in enumerate(texts)], "row_id bigint, title string, description string")
+    fields = ("title", "description")
+    whole, counted = R.Model(["Clerk"] * (len(texts) // 2) + texts), R.fit(df, fields, "row_id", {"title": 2, "description": 2})
+    for x in texts:
+        for p in R.passages(x):
+            assert counted.prose.odds(R._features(p)) == pytest.approx(whole.prose.odds(R._features(p)), abs=1e-6)
+            assert counted.passage_class(p) == whole.passage_class(p)
+        for s in R.spans(x):
+            assert counted.spans.odds(R._span_features(*s)) == pytest.approx(whole.spans.odds(R._span_features(*s)), abs=1e-6)
+        assert counted.is_residue(x) == whole.is_residue(x)
+    assert counted.is_residue(rare)
