@@ -30,8 +30,6 @@ BLOCK_PAGES = 256
 MAX_LARGE_HOSTS = 5_000
 #: Descriptions are clipped at so many characters; the last line of one that reaches it may be cut.
 CLIP = 1_500
-#: Nodes of a wrapper.
-MAX_NODES = 600
 
 BLANK, TEXT, HEAD, PAGE, LIST, OPEN, EDGE = range(7)
 
@@ -110,7 +108,7 @@ def _between(before: int, after: int) -> bool:
 
 
 class Wrapper:
-    """A union-free regular expression over tokens, grown by one aligned stream after the other."""
+    """A union-free regular expression over tokens, grown by one aligned stream after the other; its block's size bounds it."""
 
     def __init__(self) -> None:
         self.nodes: list[str] = []
@@ -155,7 +153,7 @@ class Wrapper:
                     place = p + 1
                 else:
                     self.repeated[p] = True
-            elif len(self.nodes) + len(inserted) < MAX_NODES:
+            else:
                 inserted.append((place, t, k))
         if inserted:
             for shift, (place, t, k) in enumerate(inserted):

@@ -49,3 +49,11 @@ def test_blocks_of_a_large_host_lose_no_page(spark, monkeypatch):
     assert W.wrappers(df).agg({"pages": "sum"}).first()[0] == 700
     monkeypatch.setattr(W, "MAX_LARGE_HOSTS", 0)
     assert W.furniture_lines(df).count() == 700
+
+
+def test_long_wrappers_keep_all_tokens():
+    w = W.Wrapper()
+    for _ in range(2):
+        w.align([("Apply now", W.PAGE)] + [(f"line {i}", W.OPEN) for i in range(700)] + [("Sitemap", W.PAGE)])
+    assert len(w.nodes) == 702 and len(w.constants()) == 700 and set(w.constants().values()) == {W.PAGE}
+    assert "(line 699)" in w.pattern()
