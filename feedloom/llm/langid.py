@@ -21,7 +21,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Longest context in bytes. Keys hold ORDER + 1 bytes, at most 7.
@@ -265,16 +265,33 @@ def segments(texts: list[str], model: PPM) -> Iterator[list[tuple[int, int, str,
             yield out
 
 
+def _samples(samples: DataFrame, lang: str, text: str) -> list[tuple[str, str]]:
+    """The labelled samples: all, or of more than MAX_SAMPLES an equal number of each language, those of the lowest text hash.
+
+    What languages with few samples leave over goes to the others; every language keeps one at least.
+    """
+    rows = samples.select(samples[lang].alias("lang"), samples[text].alias("text")).where("lang is not null and text is not null")
+    counts = sorted(r["count"] for r in rows.groupBy("lang").count().collect())
+    if sum(counts) > MAX_SAMPLES:
+        left = MAX_SAMPLES
+        for i, n in enumerate(counts):
+            if (most := left // (len(counts) - i)) <= n:
+                break
+            left -= n
+        place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text"))
+        rows = rows.withColumn("place", place).where(F.col("place") <= max(most, 1))
+    return [(r["lang"], r["text"]) for r in rows.orderBy("lang", "text").collect()]
+
+
 def _train(samples: DataFrame, docs: DataFrame, lang: str, text: str, more: int = MAX_DOCUMENTS) -> PPM:
     """The model of the clean samples, fitted again with labelled documents that it finds rightly labelled.
 
-    At most MAX_SAMPLES samples and about ``more`` documents, those of the lowest text hash, come to the driver.
+    At most MAX_SAMPLES samples, shared out among the languages, and about ``more`` documents, those of the lowest text hash, come to the driver.
     Of the documents count those in one language, by the first model and the label alike.
     """
-    rows = samples.select(lang, text).where(samples[lang].isNotNull() & samples[text].isNotNull()).orderBy(lang, text).limit(MAX_SAMPLES).collect()
-    if not rows:
+    clean = _samples(samples, lang, text)
+    if not clean:
         raise ValueError("no labelled samples")
-    clean = [(r[0], r[1]) for r in rows]
     model = PPM(clean)
     if more <= 0 or lang not in docs.columns:
         return model

@@ -74,3 +74,11 @@ def test_cases(spark, rows):
     assert L.wrong_labels(d.limit(0), s).count() == 0 and L.language_segments(d.limit(0), s).count() == 0
     with pytest.raises(ValueError):
         L.wrong_labels(d, s.limit(0))
+
+
+def test_many_samples_keep_every_language(spark, monkeypatch):
+    df = spark.createDataFrame([("de", f"Satz {i}") for i in range(50)] + [("pt", f"frase {i}") for i in range(30)] + [("uk", "речення"), (None, "x"), ("uk", None)], "lang string, text string")
+    assert len(L._samples(df, "lang", "text")) == 81
+    monkeypatch.setattr(L, "MAX_SAMPLES", 21)
+    assert Counter(a for a, _ in L._samples(df, "lang", "text")) == {"de": 10, "pt": 10, "uk": 1}
+    assert set(L._train(df, df, "lang", "text", 0).languages) == {"de", "pt", "uk"}
