@@ -1,254 +1,330 @@
-"""Main content of pages: wrappers inferred from the pages of one host.
-
-A page is a stream of line tokens. Numbers, the page's own title and its company are slots within a token,
-sentences and list points are text slots as a whole. The streams of a host are aligned one after the other
-into a wrapper, a union-free regular expression over tokens: tokens met in the wrapper's order match, tokens
-that one side lacks become optional, tokens that follow themselves and runs of entries under a list's
-heading become repeated groups, and different texts at one place become a text slot.
-
-A node whose wording tells what it is (menus, cookie notices, buttons, footers, headings of a posting) is
-classed by that. Any other constant of the wrapper takes the class of its neighbours in it: what stands
-between page furniture, or between furniture and the page's edge, is furniture.
-
-Hosts are cut into blocks of bounded size, so that a host with a third of all pages is many tasks' work;
-rows travel once, keyed by host and block.
+"""Main content of pages: union-free wrappers inferred from the pages of one host.
+
+A page is a stream of line tokens; numbers, the page's own title and company and the host's name are slots
+within a token. The streams of a host are aligned into a wrapper, a union-free regular expression over nodes:
+
+* Tokens that several pages share are constants. Tokens that differ but begin with the same words are aligned
+  into one node, the shared words followed by a text slot; any other mismatch is a slot by its form alone: a
+  sentence, a list point, a label ending in a colon, or a short line.
+* Nodes that some pages lack are optional, runs of them that come and go together are optional groups, nodes
+  that follow themselves are repeated groups.
+* The wrapper of a page is ``furniture* ((heading)? content+ furniture*)*``. Which group a node belongs to
+  is inferred from where it stands in the aligned pages, not from its wording: every page is matched against
+  the expression with the nodes' present memberships (forward-backward over the three groups), the memberships
+  are counted anew from the matches of all pages, and so on for ROUNDS. A heading is what content follows, a
+  menu or a button also stands at a page's edges and beside its like, a list of other roles under its title is
+  a repeated group of short lines in furniture.
+
+There are no word lists, so the language of a page doesn't matter. Hosts are cut into blocks of bounded size,
+each large enough for a wrapper of its own; hosts with few pages are pooled, so that what their platforms have
+in common makes the nodes. Rows travel once, keyed by block; no statistics leave a block.
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Pages that are aligned into one wrapper, about; larger hosts are cut into blocks.
-BLOCK_PAGES = 256
-#: Hosts larger than a block whose sizes may be sent to the tasks at once; beyond, sizes are joined by a shuffle.
+#: Pages that are aligned into one wrapper, about; larger hosts are cut into blocks, hosts of less than a quarter are pooled.
+BLOCK_PAGES = 2_048
+#: Hosts with blocks of their own whose sizes may be sent to the tasks at once; beyond, sizes are joined by a shuffle.
 MAX_LARGE_HOSTS = 5_000
-#: Descriptions are clipped at so many characters; the last line of one that reaches it may be cut.
-CLIP = 1_500
-
-BLANK, TEXT, HEAD, PAGE, LIST, OPEN, EDGE = range(7)
-
-#: Words of menus (fixed values).
-MENU = """home|menu|search|log in|login|sign in|sign up|register|my account|about|about us|contact|contact us|services|support|products|partners|investors|locations|students|team|our team|careers|jobs|blog|news|faq|our work|press
-accueil|recherche|connexion|inscription|mon compte|à propos|nous joindre|contactez-nous|produits|partenaires|investisseurs|équipe|notre équipe|carrières|emplois|nouvelles|blogue|actualités|english|français|en|fr|en | fr|fr | en"""
-#: Beginnings of furniture lines, after list marks (fixed values).
-FURNITURE = r"""skip to (?:main )?content|toggle navigation|skip navigation|aller au contenu|you are here\b|vous êtes ici\b|(?:home|careers|jobs|accueil|carrières|emplois) ?[>/»›] |search jobs\b
-we use cookies|this (?:web)?site (?:stores|uses)|by (?:browsing|using|continuing)\b.*\b(?:agree|cookies)|your privacy matters|ce site utilise|en poursuivant, vous|only necessary cookies|accept all$|tout accepter|accept \||manage consent|cookie (?:settings|preferences)|paramètres$
-apply now|apply with\b|postuler maintenant|share (?:this|on)\b|save this|print this|email to a friend|report (?:this|a problem)|create job alert|view all jobs|back to (?:top|all)|« previous|previous job|next job|already applied\?|was this page useful|\d+ comments?$|\d+ people viewed|\d+ more results|chat with us|partager
-filter by:|sort:|get alerts by email|enter your email|subscribe to|share your cv|language: |choose your language|submit$|s'abonner
-privacy(?: policy)?(?:$| \|)|terms of (?:use|service)(?:$| \|)|sitemap$|accessibility(?: statement)?$|politique de confidentialité|conditions d'utilisation|do not sell my|copyright \S|© ?\d|tous droits réservés|all rights reserved|follow us\b|download our app|toll free\b|powered by \S|site by \S|plan du site"""
-#: Lines that begin like furniture but are sentences of a posting (fixed values).
-NOT_FURNITURE = r"all rights to\b|privacy reviews\b|terms of use are\b|search and\b|sitemap and\b"
-#: Headings over lists of other roles or of teasers (fixed values).
-LISTS = r"""other openings|people also (?:looked|viewed)|similar (?:roles|jobs|openings)|related (?:searches|jobs)|recently viewed|more jobs (?:in|at)\b|trending\b|you may also like|offres semblables|autres offres
-latest news|from our blog|featured stories|in the press|insights$|news from\b|à la une|actualités récentes"""
-#: Headings of a posting (fixed values).
-HEADINGS = """responsibilities|requirements|skills|duties|must have|nice to have|your day|what you bring|what you will do|what we offer|benefits|perks|how to apply|about the role|the role|qualifications|education|experience|location|salary|we offer
-votre profil|vos tâches|responsabilités|exigences|avantages|nous offrons|pour postuler|profil recherché|le poste"""
-#: Shapes of teasers, street addresses and further furniture wherever they stand (fixed values).
-SHAPES = r"""^(?:news|event|watch(?: the film)?|read|podcast #?\d*|blog) ?[:–-] ?\S.*[^.]$|^podcast #\d+|^why we \S.*»$|^\d+ photos from\b|^watch the film\b|\bwins an? .* award\b.*[^.]$
-^\d+ [\w' -]+ (?:road|street|lane|row|avenue|drive|way|square|quay|court|place|hill)\b[\w ,'-]*$|^\d+,? rue \S[\w ,'-]*$"""
-
-_WORDS = sorted({w for line in MENU.splitlines() for w in line.split("|") if w} | {"en | fr"}, key=len, reverse=True)
-_MENU = re.compile(r"(?:(?:" + "|".join(map(re.escape, _WORDS)) + r")(?=$|[\s|/·›»>–•,-])[\s|/·›»>–•,-]*)+")
-_FURNITURE = re.compile("|".join(FURNITURE.splitlines()))
-_NOT = re.compile(NOT_FURNITURE)
-_LISTS = re.compile("|".join(LISTS.splitlines()))
-_HEADINGS = {w for line in HEADINGS.splitlines() for w in line.split("|")}
-_SHAPES = re.compile("|".join(SHAPES.splitlines()))
+#: Pages on which a token, or the words a token begins with, must stand to be a constant; and most words of such a beginning.
+SUPPORT, BEGINNING = 3, 6
+#: Rounds in which the nodes' memberships are counted anew, and the power that makes those of shared short lines decisive.
+ROUNDS, SHARPEN = 8, 3.0
+#: Cells of the arrays that pages are matched in at once, which bounds their memory.
+CELLS = 500_000
+
+#: Forms of tokens.
+SENTENCE, POINT, SHORT, LABEL = range(4)
+#: Groups of the expression.
+FURNITURE, HEADING, CONTENT = range(3)
+#: What a node of each form is before any page is seen, and the weight that this keeps against the pages.
+PRIOR = np.array([[0.20, 0.02, 0.78], [0.01, 0.01, 0.98], [0.53, 0.44, 0.03], [0.20, 0.70, 0.10]])
+KEPT = np.array([0.40, 0.50, 0.05, 0.10])
+#: The expression: which group follows which, which begins a page, and which ends one.
+NEXT = np.array([[0.80, 0.03, 0.17], [0.03, 0.02, 0.95], [0.10, 0.20, 0.70]])
+FIRST, LAST = np.array([0.60, 0.02, 0.38]), np.array([0.60, 0.01, 0.39])
+
 _POINT = re.compile(r"^[*•·‣◦▪–-]\s+")
 _NUMBER = re.compile(r"\d+")
-_SENTENCE = re.compile(r"[.!?…][\"')\]]*$")
-_STEMS = sorted({w.split(r"\b")[0] for w in ("privacy policy", "terms of use", "sitemap", "accessibility statement", "politique de confidentialité", "do not sell my information", "copyright ", "tous droits réservés", "follow us: ", "download our app", "toll free ", "powered by ", "site by ", "enter your email address", "language: english (change)", "back to top", "report a problem with this page", "subscribe to our newsletter", "manage consent preferences", "only necessary cookies", "cookie settings", "accept all", "we use cookies to ", "by browsing this site you agree ", "your privacy matters: ", "this website stores small files ", "ce site utilise des témoins ", "en poursuivant, vous acceptez ", "other openings you may like", "people also looked at", "offres semblables", "related searches", "recently viewed", "similar roles", "more jobs in ", "trending this week", "featured stories", "latest news", "from our blog", "in the press", "email to a friend", "share this job", "save this job", "apply with ", "apply now", "postuler maintenant", "create job alert", "view all jobs at ", "print this page", "report this listing", "back to all openings", "was this page useful?", "already applied? ")})
+_STOP = re.compile(r"[.!?…。！？][\"')\]»]*$")
+_LONG = 160
 
 
-def token(line: str, title: str, company: str) -> str:
-    """A line as token: white space collapsed, numbers, own title and own company as slots."""
+def token(line: str, title: str = "", company: str = "", host: re.Pattern[str] | None = None) -> str:
+    """A line as token: white space collapsed, own title, own company, host name and numbers as slots."""
     t = " ".join(line.split())
     if title and title in t:
         t = t.replace(title, "<title>")
     if company and company in t:
         t = t.replace(company, "<company>")
+    if host is not None:
+        t = host.sub("<host>", t)
     return _NUMBER.sub("0", t)
 
 
-def kind(t: str) -> int:
-    """What a token is by its wording alone."""
-    if not t:
-        return BLANK
-    if t == "<company>":
-        return PAGE
-    low = t.lower()
-    if _POINT.match(low):
-        return TEXT
-    if _MENU.fullmatch(low):
-        return PAGE
-    if low.rstrip(" :") in _HEADINGS:
-        return HEAD
-    if _FURNITURE.match(low) and not _NOT.match(low):
-        return PAGE
-    if _LISTS.match(low) and not _SENTENCE.search(low):
-        return LIST
-    if _SHAPES.search(low):
-        return PAGE
-    if _SENTENCE.search(low) and len(low.split()) >= 3 or len(low) > 160:
-        return TEXT
-    return OPEN
-
-
-def _between(before: int, after: int) -> bool:
-    """Whether what stands there is furniture: between furniture lines, or between one and the page's edge."""
-    sides = {before, after}
-    return sides <= {PAGE, LIST, EDGE} and sides != {EDGE}
+def form(t: str) -> int:
+    """The form of a token: a list point, a sentence (or any long line), a label with a colon, or a short line."""
+    if _POINT.match(t):
+        return POINT
+    if len(t) > _LONG or _STOP.search(t) and (len(t.split()) >= 4 or len(t) >= 12 and " " not in t):
+        return SENTENCE
+    return LABEL if t.endswith((":", "：")) else SHORT
+
+
+def host_name(host: str) -> re.Pattern[str] | None:
+    """The longest label of a host as a pattern; none if it's short, as it might be a word of any text."""
+    label = max(host.split(".")[:-1] or [""], key=len)
+    return re.compile(re.escape(label), re.I) if len(label) > 4 else None
+
+
+class Page:
+    """One page's non-blank tokens and the numbers of their lines."""
+
+    __slots__ = ("row", "host", "tokens", "numbers", "clipped")
+
+    def __init__(self, row: object, host: str, text: str, title: str | None, company: str | None, name: re.Pattern[str] | None = None, clip: int | None = None):
+        self.row, self.host = row, host
+        title, company = " ".join((title or "").split()), " ".join((company or "").split())
+        found = [(i, t) for i, line in enumerate(text.split("\n")) if (t := token(line, title, company, name))]
+        self.numbers, self.tokens = [i for i, _ in found], [t for _, t in found]
+        self.clipped = clip is not None and len(text) >= clip
 
 
 class Wrapper:
-    """A union-free regular expression over tokens, grown by one aligned stream after the other; its block's size bounds it."""
+    """The nodes of a block of pages, their memberships in the expression's groups, and each page's match."""
+
+    def __init__(self, pages: list[Page]):
+        self.pages = pages
+        self.support: Counter = Counter()
+        for page in pages:
+            seen: set[tuple[bool, str]] = set()
+            for t in set(page.tokens):
+                bare = _POINT.sub("", t)
+                seen.add((True, t))
+                words = bare.split(" ")
+                seen.update((False, (bare != t) * "* " + " ".join(words[:k])) for k in range(2, min(len(words), BEGINNING + 1)))
+            self.support.update(seen)
+        self.nodes: list[str] = []
+        self.forms: list[int] = []
+        self.constant: list[bool] = []
+        self._ids: dict[tuple[int, str], int] = {}
+        self._known: dict[str, int] = {}
+        self.streams = [[self._node(t) for t in page.tokens] for page in pages]
+        self._complete()
+        self._fit()
+
+    def _node(self, t: str) -> int:
+        """The node that a token is a text of: itself, its beginning and a slot, or the slot of its form."""
+        at = self._known.get(t)
+        if at is None:
+            kind, name, constant = form(t), "", True
+            if self.support[True, t] >= SUPPORT:
+                name = t
+            else:
+                bare = _POINT.sub("", t)
+                words, mark = bare.split(" "), "* " if bare != t else ""
+                for k in range(min(len(words) - 1, BEGINNING), 1, -1):
+                    if self.support[False, mark + " ".join(words[:k])] >= SUPPORT:
+                        name = mark + " ".join(words[:k]) + " <text>"
+                        break
+                else:
+                    name, constant = ("<sentence>", "<point>", "<short>", "<label>")[kind], False
+            at = self._ids.get((kind, name))
+            if at is None:
+                at = self._ids[kind, name] = len(self.nodes)
+                self.nodes.append(name)
+                self.forms.append(kind)
+                self.constant.append(constant)
+            self._known[t] = at
+        return at
+
+    def _complete(self) -> None:
+        """The cut last line of a clipped page is the constant that it begins."""
+        whole = sorted(t for (full, t), n in self.support.items() if full and n >= SUPPORT)
+        for page, stream in zip(self.pages, self.streams):
+            if page.clipped and stream and self.support[True, page.tokens[-1]] < SUPPORT and not _POINT.match(page.tokens[-1]):
+                at = bisect_left(whole, page.tokens[-1])
+                if at < len(whole) and whole[at].startswith(page.tokens[-1]):
+                    stream[-1] = self._node(whole[at])
+
+    def _slabs(self) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+        """Pages of similar length together: their numbers, their nodes as a (line, page) array with -1 beyond the end, and which are clipped."""
+        order = sorted((i for i, s in enumerate(self.streams) if s), key=lambda i: len(self.streams[i]))
+        while order:
+            n = 1
+            while n < len(order) and (n + 1) * len(self.streams[order[-1]]) <= CELLS:
+                n += 1
+            part, order = order[-n:], order[:-n]
+            at = np.full((len(self.streams[part[-1]]), len(part)), -1)
+            for j, i in enumerate(part):
+                at[: len(self.streams[i]), j] = self.streams[i]
+            yield part, at, np.array([self.pages[i].clipped for i in part])
+
+    def _match(self, at: np.ndarray, clipped: np.ndarray, member: np.ndarray) -> np.ndarray:
+        """The probability of each group for each (line, page), by forward-backward over the expression."""
+        live = at >= 0
+        weight = np.where(live[..., None], member[np.where(live, at, 0)], 1.0)
+        ahead = np.empty_like(weight)
+        now = FIRST * weight[0]
+        now /= now.sum(-1, keepdims=True)
+        ahead[0] = now
+        for i in range(1, len(at)):
+            new = (now @ NEXT) * weight[i]
+            new /= new.sum(-1, keepdims=True)
+            now = np.where(live[i][:, None], new, now)
+            ahead[i] = now
+        end = np.where(clipped[:, None], np.full(3, 1 / 3), LAST)
+        now, out = end, np.empty_like(weight)
+        for i in range(len(at) - 1, -1, -1):
+            now = np.where(live[i][:, None], now, end)
+            out[i] = now
+            new = (now * weight[i]) @ NEXT.T
+            now = np.where(live[i][:, None], new / new.sum(-1, keepdims=True), now)
+        out *= ahead
+        return out / out.sum(-1, keepdims=True)
+
+    def _fit(self) -> None:
+        n, slabs = len(self.nodes), list(self._slabs())
+        forms, constant = np.array(self.forms, int), np.array(self.constant, bool)
+        prior = PRIOR[forms] if n else np.zeros((0, 3))
+        count = np.zeros(n)
+        for stream in self.streams:
+            np.add.at(count, stream, 1)
+        edges = [Counter(s[k] for s in self.streams if s) for k in (0, -1)]
+        # a constant that is neither sentence nor point and mostly begins or ends its pages is no heading
+        short = constant & ((forms == SHORT) | (forms == LABEL))
+        for k in np.flatnonzero(short):
+            moved = prior[k, 1:] * min(1.0, 2 * max(edges[0][k], edges[1][k]) / count[k])
+            prior[k, 1:] -= moved
+            prior[k, 0] += moved.sum()
+        member = prior.copy()
+        for _ in range(ROUNDS):
+            found = np.zeros((n, 3))
+            for _, at, clipped in slabs:
+                live = at >= 0
+                p = self._match(at, clipped, member)
+                for g in range(3):
+                    found[:, g] += np.bincount(at[live], p[..., g][live], n)
+            kept = (1 + KEPT[forms] * count)[:, None] if n else 0
+            member = np.maximum((found + kept * prior) / (count[:, None] + kept), 0.003) if n else member
+            # a short line that several pages share is a heading or furniture (as content it would fit any place); what also
+            # stands where no heading can, at a page's end or before a heading, is furniture wherever it stands
+            member[short, HEADING] += member[short, CONTENT]
+            member[short, CONTENT] = 0.003
+            member[short] **= SHARPEN
+            member[short] /= member[short].sum(-1, keepdims=True)
+            member[short] = np.maximum(member[short], 0.003)
+            member = np.where(constant[:, None], member, prior)
+        self.member = member
+        self.match: list[np.ndarray] = [np.zeros(0, int)] * len(self.streams)
+        for part, at, clipped in slabs:
+            p = self._match(at, clipped, member)
+            for j, i in enumerate(part):
+                self.match[i] = p[: len(self.streams[i]), j].argmax(-1)
+
+    def furniture(self, i: int) -> list[int]:
+        """Numbers of the lines of page ``i`` that match furniture; none on a page without any content."""
+        groups = self.match[i]
+        if not (groups != FURNITURE).any():
+            return []
+        return [n for n, g in zip(self.pages[i].numbers, groups.tolist()) if g == FURNITURE]
+
+    def pattern(self, host: str) -> str:
+        """The expression of one host's pages: ``[f]``, ``[h]`` and ``[c]`` open runs of furniture, headings and content;
+        all content is one slot.
+
+        ``(a)?`` is optional, ``(a)+`` repeated, ``(a)*`` both, ``(a b)?`` a group that comes and goes together.
+        """
+        own = [i for i, page in enumerate(self.pages) if page.host == host and self.streams[i]]
+        line = Alignment()
+        for i in own:
+            line.align([("<content>" if g == CONTENT else self.nodes[k], int(g)) for k, g in zip(self.streams[i], self.match[i].tolist())])
+        return line.pattern()
+
+
+class Alignment:
+    """Streams of (node, group) aligned one after the other; a stream's longest ordered run of known nodes is matched."""
 
     def __init__(self) -> None:
-        self.nodes: list[str] = []
-        self.kinds: list[int] = []
-        self.support: list[int] = []
+        self.nodes: list[tuple[str, int]] = []
+        self.on: list[set[int]] = []
         self.repeated: list[bool] = []
-        self.at: dict[str, int] = {}
-        self.pages = 0
+        self.streams = 0
 
     def align(self, stream: list[tuple[str, int]]) -> None:
-        """Match the stream's tokens with the nodes in order; insert the others as optional nodes."""
-        self.pages += 1
-        once = []
-        for t, k in stream:
-            if once and once[-1][0] == t:
-                if t in self.at:
-                    self.repeated[self.at[t]] = True
+        self.streams += 1
+        once: list[tuple[str, int]] = []
+        many: list[bool] = []
+        for x in stream:
+            if once and once[-1] == x:
+                many[-1] = True
             else:
-                once.append((t, k))
-        # the longest increasing run of known positions is what both sides have in the same order
+                once.append(x)
+                many.append(False)
+        place = {x: p for p, x in reversed(list(enumerate(self.nodes)))}
+        ends: list[int] = []  # the last element of the best run of each length (by patience)
         tails: list[int] = []
-        ends: list[int] = []
         back = [-1] * len(once)
-        for i, (t, _) in enumerate(once):
-            if (p := self.at.get(t)) is None:
+        for i, x in enumerate(once):
+            if (p := place.get(x)) is None:
                 continue
             j = bisect_left(tails, p)
             back[i] = ends[j - 1] if j else -1
-            tails[j:], ends[j:] = [p], [i]
-            # longer runs that ended later are dropped with their tails: a greedy, linear alignment
-        matched = set()
+            if j == len(tails):
+                tails.append(p)
+                ends.append(i)
+            else:
+                tails[j], ends[j] = p, i
+        run = {}
         i = ends[-1] if ends else -1
         while i >= 0:
-            matched.add(i)
+            run[i] = place[once[i]]
             i = back[i]
-        place, inserted = 0, []
-        for i, (t, k) in enumerate(once):
-            p = self.at.get(t)
-            if p is not None:
-                self.support[p] += 1
-                if i in matched:
-                    place = p + 1
-                else:
-                    self.repeated[p] = True
+        nodes, on, repeated, at = [], [], [], 0
+        for i, x in enumerate(once):
+            if i in run:
+                p = run[i]
+                nodes += self.nodes[at : p + 1]
+                on += self.on[at : p + 1]
+                repeated += self.repeated[at : p + 1]
+                at = p + 1
+                on[-1].add(self.streams)
+                repeated[-1] |= many[i]
+            elif x in place:  # met again out of order: its node is repeated
+                self.on[place[x]].add(self.streams)
+                self.repeated[place[x]] = True
+                if place[x] < at:
+                    repeated[nodes.index(x)] = True
             else:
-                inserted.append((place, t, k))
-        if inserted:
-            for shift, (place, t, k) in enumerate(inserted):
-                at = place + shift
-                self.nodes.insert(at, t)
-                self.kinds.insert(at, k)
-                self.support.insert(at, 1)
-                self.repeated.insert(at, False)
-            seen: dict[str, int] = {}
-            for i, t in enumerate(self.nodes):
-                seen.setdefault(t, i)
-            self.at = seen
-
-    def constants(self) -> dict[str, int]:
-        """The class of each open token that at least two pages share, from its neighbours in the wrapper."""
-        out = {}
-        for i, t in enumerate(self.nodes):
-            if self.kinds[i] == OPEN and self.support[i] > 1:
-                before = next((self.kinds[j] for j in range(i - 1, -1, -1) if self.kinds[j] != OPEN), EDGE)
-                after = next((self.kinds[j] for j in range(i + 1, len(self.nodes)) if self.kinds[j] != OPEN), EDGE)
-                out[t] = PAGE if _between(before, after) else TEXT
-        return out
+                nodes.append(x)
+                on.append({self.streams})
+                repeated.append(many[i])
+        self.nodes, self.on, self.repeated = nodes + self.nodes[at:], on + self.on[at:], repeated + self.repeated[at:]
 
     def pattern(self) -> str:
-        """The expression: ``(token)?`` is optional, ``(token)+`` repeated, ``<text>`` a text slot."""
-        parts = []
-        for t, n, many in zip(self.nodes, self.support, self.repeated):
-            mark = ("*" if many else "?") if n < self.pages else ("+" if many else "")
-            parts.append(f"({t}){mark}")
-        return " ".join(parts)
-
-
-class Page:
-    """One page's lines, tokens and their kinds."""
-
-    __slots__ = ("row", "tokens", "kinds", "clipped")
-
-    def __init__(self, row: object, text: str, title: str | None, company: str | None, known: dict[str, int]):
-        self.row = row
-        title, company = " ".join((title or "").split()), " ".join((company or "").split())
-        self.tokens = [token(line, title, company) for line in text.split("\n")]
-        self.kinds = []
-        for t in self.tokens:
-            k = known.get(t)
-            if k is None:
-                k = known[t] = kind(t)
-            self.kinds.append(k)
-        self.clipped = len(text) >= CLIP
-        entry = False
-        for i, k in enumerate(self.kinds):  # open lines under a list's heading are its entries
-            if k == LIST:
-                entry = True
-            elif k == OPEN:
-                if entry:
-                    self.kinds[i] = LIST
-            elif k in (TEXT, HEAD, PAGE):
-                # teasers and furniture may stand between entries; a posting's text ends them
-                entry = entry and k == PAGE and self.tokens[i].lower().startswith(("news", "event", "watch", "read", "podcast", "blog", "why we"))
-        if self.clipped:
-            last = max((i for i, k in enumerate(self.kinds) if k != BLANK), default=-1)
-            if last >= 0 and self.kinds[last] in (OPEN, TEXT) and not _POINT.match(self.tokens[last]):
-                low = self.tokens[last].lower()
-                before = next((self.kinds[i] for i in range(last - 1, -1, -1) if self.kinds[i] != BLANK), TEXT)
-                at = bisect_left(_STEMS, low)
-                if any(s.startswith(low) for s in _STEMS[at : at + 1]) and (len(low) >= 4 or before in (PAGE, LIST)):
-                    self.kinds[last] = PAGE
-
-    def stream(self) -> list[tuple[str, int]]:
-        out = []
-        for t, k in zip(self.tokens, self.kinds):
-            if k == TEXT:
-                out.append(("<text>", TEXT))
-            elif k == LIST and (not out or out[-1][1] == LIST):
-                out.append(("<entry>", LIST))
-            elif k != BLANK:
-                out.append((t, k))
-        return out
-
-    def furniture(self, constants: dict[str, int]) -> list[int]:
-        """Numbers of the lines that aren't part of the posting; none on a page without a line that is furniture by its wording."""
-        if PAGE not in self.kinds and LIST not in self.kinds:
-            return []
-        kinds = [constants.get(t, OPEN) if k == OPEN else k for t, k in zip(self.tokens, self.kinds)]
-        solid = [i for i, k in enumerate(kinds) if k not in (BLANK, OPEN)]
-        out = []
-        for i, k in enumerate(kinds):
-            if k in (PAGE, LIST):
-                out.append(i)
-            elif k == OPEN:  # on this page alone: by the nearest lines of known kind, the page's edges being furniture
-                n = bisect_left(solid, i)
-                before = kinds[solid[n - 1]] if n else EDGE
-                after = kinds[solid[n]] if n < len(solid) else EDGE
-                if _between(before, after):
-                    out.append(i)
-        return out
+        out, i, group = [], 0, None
+        while i < len(self.nodes):
+            j = i + 1
+            while j < len(self.nodes) and self.on[j] == self.on[i] and self.nodes[j][1] == self.nodes[i][1] and not (self.repeated[i] or self.repeated[j]):
+                j += 1
+            if self.nodes[i][1] != group:
+                group = self.nodes[i][1]
+                out.append(("[f]", "[h]", "[c]")[group])
+            optional = len(self.on[i]) < self.streams
+            mark = ("*" if optional else "+") if self.repeated[i] else "?" if optional else ""
+            out.append("(" + " ".join(x for x, _ in self.nodes[i:j]) + ")" + mark)
+            i = j
+        return " ".join(out)
 
 
 def _host(url: Column) -> Column:
@@ -256,106 +332,95 @@ def _host(url: Column) -> Column:
 
 
 def _keyed(df: DataFrame, row_id: str, url: str, text: str, title: str, company: str) -> DataFrame:
-    """The rows with their host and the block of the host that they belong to."""
+    """The rows with their host and block: a large host's rows by their id, small hosts as a whole in pools."""
     rows = df.select(
         F.col(f"`{row_id}`").alias("row_id"), _host(F.col(f"`{url}`")).alias("host"), F.col(f"`{title}`").alias("title"),
         F.col(f"`{company}`").alias("company"), F.col(f"`{text}`").alias("text"),
     ).where("row_id is not null and text is not null")
-    sizes = df.select(_host(F.col(f"`{url}`")).alias("host")).groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK_PAGES)
+    hosts = df.where(F.col(f"`{text}`").isNotNull()).select(_host(F.col(f"`{url}`")).alias("host")).groupBy("host").agg(F.count("*").alias("n"))
+    is_large = F.col("n") >= BLOCK_PAGES // 4
+    small = hosts.agg(F.coalesce(F.sum(F.when(~is_large, F.col("n"))), F.lit(0)).alias("n")).first()["n"]
+    sizes = hosts.where(is_large)
     large = sizes.limit(MAX_LARGE_HOSTS + 1).collect()
-    if not large:
-        return rows.withColumn("block", F.lit(0))
     if len(large) <= MAX_LARGE_HOSTS:
         sizes = F.broadcast(df.sparkSession.createDataFrame([(r["host"], r["n"]) for r in large], "host string, n bigint"))
-    blocks = F.ceil(F.coalesce("n", F.lit(1)) / BLOCK_PAGES)
-    return rows.join(sizes, "host", "left").withColumn("block", F.pmod(F.xxhash64("row_id"), blocks).cast("int")).drop("n")
-
-
-def _groups(batches: Iterator[pa.RecordBatch], known: dict[str, int]) -> Iterator[tuple[str, list[Page]]]:
-    """Host and pages of each (host, block) in rows sorted by these."""
-    key, pages = None, []
-    for batch in batches:
-        hosts, blocks, rows, titles, companies, texts = (batch.column(i).to_pylist() for i in range(6))
-        for host, block, row, title, company, text in zip(hosts, blocks, rows, titles, companies, texts):
-            if (host, block) != key:
-                if pages:
-                    yield key[0], pages
-                key, pages = (host, block), []
-                if len(known) > 300_000:
-                    known.clear()
-            pages.append(Page(row, text, title, company, known))
-    if pages:
-        yield key[0], pages
-
+    own = F.concat(F.col("host"), F.lit("|"), F.pmod(F.xxhash64("row_id"), F.ceil(F.col("n") / BLOCK_PAGES)).cast("string"))
+    pool = F.concat(F.lit("|"), F.pmod(F.xxhash64("host"), F.lit(max(1, round(small / BLOCK_PAGES)))).cast("string"))
+    return rows.join(sizes, "host", "left").withColumn("block", F.when(F.col("n").isNull(), pool).otherwise(own)).drop("n")
 
-def _wrapper(pages: list[Page]) -> Wrapper:
-    w = Wrapper()
-    for p in pages:
-        w.align(p.stream())
-    return w
 
+def _wrapped(df: DataFrame, row_id: str, url: str, text: str, title: str, company: str, clip: int | None, out: Callable[[Wrapper, list[str]], dict[str, list]], schema: str) -> DataFrame:
+    """The rows that ``out`` makes of each block's wrapper and its pages' texts."""
+    keyed = _keyed(df, row_id, url, text, title, company).select("block", "host", "row_id", "title", "company", "text").repartition("block").sortWithinPartitions("block", "row_id")
 
-def _sorted(keyed: DataFrame) -> DataFrame:
-    return keyed.select("host", "block", "row_id", "title", "company", "text").repartition("host", "block").sortWithinPartitions("host", "block", "row_id")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, pages, texts, names = None, [], [], {}
+
+        def finish(kinds: pa.Schema) -> pa.RecordBatch:
+            cols = out(Wrapper(pages), texts)
+            return pa.RecordBatch.from_arrays([pa.array(v, kinds.field("row_id").type if k == "row_id" else {"line_no": pa.int32(), "pages": pa.int32()}.get(k, pa.string())) for k, v in cols.items()], names=list(cols))
+
+        kinds = None
+        for batch in batches:
+            kinds = batch.schema
+            for block, host, row, title_, company_, value in zip(*[batch.column(i).to_pylist() for i in range(6)]):
+                if block != key:
+                    if pages:
+                        yield finish(kinds)
+                    key, pages, texts, names = block, [], [], {}
+                if host not in names:
+                    names[host] = host_name(host)
+                pages.append(Page(row, host, value, title_, company_, names[host], clip))
+                texts.append(value)
+        if pages:
+            yield finish(kinds)
+
+    return keyed.mapInArrow(run, schema)
 
 
 def furniture_lines(
-    df: DataFrame, row_id: str = "row_id", url: str = "url", text: str = "description", title: str = "title", company: str = "company"
+    df: DataFrame, row_id: str = "row_id", url: str = "url", text: str = "description", title: str = "title", company: str = "company", clip: int | None = 1_500
 ) -> DataFrame:
     """``row_id, line_no`` of each non-blank line that isn't part of the posting; lines are cut at U+000A from 0.
 
-    Null and empty texts have no lines of either sort; rows with a null id are left out; a null url is a host
-    of its own, as are unreadable ones; texts without any line of a posting (filler, error pages) have no
-    row; repeated rows are judged each; an empty table gives no rows; further columns are not read.
+    Texts of ``clip`` characters count as cut off there (None: no text does). Null and empty texts have no lines
+    of either sort; rows with a null id are left out; null and unreadable urls are a host of their own; texts
+    without any line of content (error pages, mostly) have no row; repeated rows are judged each; an empty
+    table gives no rows; further columns are not read. In a table of few pages, where nothing is shared by
+    SUPPORT pages, the forms and places of the lines alone decide.
     """
     kind_ = df.schema[row_id].dataType.simpleString()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, numbers, type_ = [], [], None
-
-        def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(ids, type_), pa.array(numbers, pa.int32())], names=["row_id", "line_no"])
-            ids.clear()
-            numbers.clear()
-            return out
-
-        def typed() -> Iterator[pa.RecordBatch]:
-            nonlocal type_
-            for b in batches:
-                type_ = b.schema.field(2).type
-                yield b
-
-        for _, pages in _groups(typed(), {}):
-            # only open tokens need the wrapper
-            constants = _wrapper(pages).constants() if len(pages) > 1 and any(OPEN in p.kinds for p in pages) else {}
-            for p in pages:
-                found = p.furniture(constants)
-                ids += [p.row] * len(found)
-                numbers += found
-            if len(ids) > 50_000:
-                yield flush()
-        if ids:
-            yield flush()
-
-    return _sorted(_keyed(df, row_id, url, text, title, company)).mapInArrow(run, f"row_id {kind_}, line_no int").withColumnRenamed("row_id", row_id)
-
-
-def wrappers(df: DataFrame, row_id: str = "row_id", url: str = "url", text: str = "description", title: str = "title", company: str = "company") -> DataFrame:
-    """``host, pages, wrapper``: the expression of each block of each host."""
+    def out(w: Wrapper, _: list[str]) -> dict[str, list]:
+        found = [(page.row, n) for i, page in enumerate(w.pages) for n in w.furniture(i)]
+        return {"row_id": [r for r, _ in found], "line_no": [n for _, n in found]}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for host, pages in _groups(batches, {}):
-            w = _wrapper(pages)
-            yield pa.RecordBatch.from_arrays([pa.array([host]), pa.array([w.pages], pa.int32()), pa.array([w.pattern()])], names=["host", "pages", "wrapper"])
+    return _wrapped(df, row_id, url, text, title, company, clip, out, f"row_id {kind_}, line_no int").withColumnRenamed("row_id", row_id)
+
+
+def wrappers(
+    df: DataFrame, row_id: str = "row_id", url: str = "url", text: str = "description", title: str = "title", company: str = "company", clip: int | None = 1_500
+) -> DataFrame:
+    """``host, pages, wrapper``: the expression of each host's pages in each block; the groups are those that ``furniture_lines`` finds."""
+
+    def out(w: Wrapper, _: list[str]) -> dict[str, list]:
+        sizes = Counter(page.host for page in w.pages)
+        return {"host": list(sizes), "pages": list(sizes.values()), "wrapper": [w.pattern(h) for h in sizes]}
 
-    return _sorted(_keyed(df, row_id, url, text, title, company)).mapInArrow(run, "host string, pages int, wrapper string")
+    return _wrapped(df, row_id, url, text, title, company, clip, out, "host string, pages int, wrapper string")
 
 
 def main_content(
-    df: DataFrame, row_id: str = "row_id", url: str = "url", text: str = "description", title: str = "title", company: str = "company"
+    df: DataFrame, row_id: str = "row_id", url: str = "url", text: str = "description", title: str = "title", company: str = "company", clip: int | None = 1_500
 ) -> DataFrame:
-    """``row_id, text`` with the furniture lines taken out; null stays null."""
-    gone = furniture_lines(df, row_id, url, text, title, company).groupBy(row_id).agg(F.collect_set("line_no").alias("gone"))
-    lines = F.split(F.col(text), "\n")
-    kept = F.when(F.col("gone").isNull(), F.col(text)).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("gone", i)), "\n"))
-    return df.select(row_id, text).join(gone, row_id, "left").select(row_id, kept.alias(text))
+    """``row_id, text`` with the furniture lines taken out, in the same pass; rows with a null text or id are left out."""
+    kind_ = df.schema[row_id].dataType.simpleString()
+
+    def out(w: Wrapper, texts: list[str]) -> dict[str, list]:
+        kept = []
+        for i, value in enumerate(texts):
+            gone = set(w.furniture(i))
+            kept.append("\n".join(line for n, line in enumerate(value.split("\n")) if n not in gone) if gone else value)
+        return {"row_id": [page.row for page in w.pages], "text": kept}
+
+    return _wrapped(df, row_id, url, text, title, company, clip, out, f"row_id {kind_}, text string").withColumnsRenamed({"row_id": row_id, "text": text})
