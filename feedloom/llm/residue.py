@@ -3,43 +3,40 @@
 A field is cut into units of two kinds: marked spans (``{{x}}``, ``[x]``, ``<%= x %>`` and the like) and
 passages (lines and sentences). Each kind has a naive Bayes model learnt from positives that can be trusted
 and from unlabelled units by expectation-maximisation: at first every unlabelled unit counts as real text,
-then, in rounds, each unlabelled unit counts for either class by its posterior, until the classes settle.
+then, in rounds, units that the model finds positive count for the positive class, and the model is
+estimated anew. A passage counts as positive only as far as the rest of its field is.
 
-Trusted are spans in syntaxes that no prose uses, the passages of seed records below, and passages that a
-strict pattern recognises. Passages have two positive classes: notes to the author, which spoil a text
-wherever they stand, and filler or messages, which make a record a case when they carry most of it.
+Trusted are the passages of the seed records below, and spans in syntaxes that prose doesn't use; every unit,
+trusted or not, is decided by its score. Passages have two positive classes: notes to the author, which spoil
+a text wherever they stand, and filler or messages, which make a field a case when they carry most of it.
 
-The model is fitted on all rows: in the driver if they are few, else by counts on the executors, of which only
-those of features that positive units hold come to the driver. Scoring is one more pass without a shuffle.
+Features are words and pairs of neighbouring words, hashed into 2**BITS buckets, so the model has
+one size whatever the table's. Every round is a pass over all rows: the tasks score and count whole batches by
+array operations and hand on sums of buckets, which are added up in two steps. Nothing else is shuffled.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
-from collections import Counter, defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from feedloom.plans.lineage import cut
-
-#: Rows up to which the values of a field are fitted in the driver; larger tables are counted by the executors.
-FIT_ROWS = {"title": 30_000, "description": 4_000}
-#: Rounds of expectation-maximisation, the weight of an unlabelled unit's positive share against a trusted one's,
-#: and the prior probability of a positive unit, which isn't fitted: else the classes drift.
-ROUNDS, UNLABELLED, PRIOR = 4, 0.2, 0.02
-#: Weight of the smoothing, and the least share that an unlabelled unit counts with.
-SMOOTH, SURE_SHARE = 2.0, 0.9
-#: Units that a task remembers the score of before it starts anew.
-CACHE_UNITS = 200_000
-#: Units that a task counts before it hands them on, and unlabelled positive units that may be sent to all tasks.
-COUNTED, MAX_SENT = 50_000, 500_000
+
+#: Logarithms of the numbers of buckets of passage and of span features.
+BITS, SPAN_BITS = 18, 16
+#: Rounds of expectation-maximisation, and the least posterior with which an unlabelled unit counts as positive.
+ROUNDS, SURE_SHARE = 2, 0.9
+#: Prior probabilities of positive passages and spans; they aren't fitted, else the classes drift.
+PRIOR, SPAN_PRIOR = 0.02, 0.5
+#: Weight of the smoothing and least weight of one feature, of passages and of spans, and the greatest weight: the positive examples are too few for more.
+OF_PASSAGES, OF_SPANS, HIGH = (2.0, -2.0), (0.2, -1.5), 6.0
 #: Share of a text's letters that filler or messages must carry to make it a case.
 MOST = 0.5
+#: Characters that are scored at once, which bounds the memory of the arrays; a longer text is scored by itself.
+SLAB_CHARS = 2_000_000
 
 REAL, NOTE, FILLER = 0, 1, 2
 
@@ -58,32 +55,30 @@ Duis aute irure dolor in reprehenderit in voluptate velit esse cillum dolore eu
 Porta semper vitae lorem.|Sample text sample text|test test|test|Untitled document|Untitled|New Page|New Page (2)|Default title""",
     NOTE: """TODO: describe role|TODO: describe team|TODO: add description|TBD|Title TBD|TITLE TBD|Description TBD|Title goes here|Text goes here|Your text here|INSERT TEXT HERE|INSERT DUTIES HERE|Insert title here|XXXX text text XXXX|text text text|To be completed by manager|To be filled in|Add three bullets|(copy to follow)|Details to follow|Text to come""",
 }
-#: Passages that can be trusted to be messages or filler (fixed values).
-TRUSTED = {
-    FILLER: r"(?i)\blorem\b|\bipsum\b|\bcupidatat\b|\badipiscing\b|^(?:error )?(?:40[34]|50[0234])\b[^a-z]*(?:not found|forbidden|internal|bad gateway|service unavailable|gateway timeout)|\bpage (?:you|demandée)\b.*(?:not be found|introuvable)|"
-    r"(?:java-?script|scripts?|scripting)\b.*(?:disabled in your browser|support is required|to continue\.|for this site|afficher cette page)|browser that runs|^HTTP status \d+|read property '\w+' of undefined",
-    NOTE: r"^TODO\b|\bTBD$|\bgoes here$|^INSERT .* HERE$|^X{3,} .* X{3,}$",
-}
-#: Syntaxes of marked spans, by name; those of the first group aren't used by prose (fixed values).
+#: Syntaxes of marked spans, by name; those of the first group are trusted, as prose doesn't use them (fixed values).
 SURE = {
-    "braces2": r"\{\{\s*(?P<braces2>[^{}\s][^{}]{0,60}?)\s*\}\}", "erb": r"<%=?\s*(?P<erb>[^%<>]{1,60}?)\s*%>", "brackets2": r"\[\[(?P<brackets2>[^\[\]]{1,60})\]\]",
-    "angles2": r"<<(?P<angles2>[^<>]{1,60})>>", "insert": r"<insert (?P<insert>[^<>]{1,60}) here>", "fill": r"\((?P<fill>[^()]{1,60}) to be filled in\)",
-    "merge": r"\*\|(?P<merge>[^|*]{1,60})\|\*", "entity": r"&lt;(?P<entity>[^&<>]{1,60})&gt;", "at": r"@@(?P<at>[^@]{1,60})@@", "under": r"(?<!\w)__(?P<under>[A-Za-z][\w.\- ]{0,58}?)__(?!\w)",
-    "hash": r"#\{(?P<hash>[^{}]{1,60})\}", "percent": r"(?<!\w)%(?P<percent>[A-Za-z][\w.\- ]{1,58}?)%(?!\w)", "dollars": r"(?<!\w)\$(?P<dollars>[A-Za-z](?:[\w.\- ]{0,58}?\w)?)\$(?![\w{])", "printf": r"(?<!\S)(?P<printf>%[sd])(?=[\s.,;]|$)",
+    "braces2": r"\{\{\s*(?P<braces2>[^{}\s][^{}]{0,200}?)\s*\}\}", "erb": r"<%=?\s*(?P<erb>[^%<>]{1,200}?)\s*%>", "brackets2": r"\[\[(?P<brackets2>[^\[\]]{1,200})\]\]",
+    "angles2": r"<<(?P<angles2>[^<>]{1,200})>>", "insert": r"<insert (?P<insert>[^<>]{1,200}) here>", "fill": r"\((?P<fill>[^()]{1,200}) to be filled in\)",
+    "merge": r"\*\|(?P<merge>[^|*]{1,200})\|\*", "entity": r"&lt;(?P<entity>[^&<>]{1,200})&gt;", "at": r"@@(?P<at>[^@]{1,200})@@", "under": r"(?<!\w)__(?P<under>[A-Za-z][\w.\- ]{0,200}?)__(?!\w)",
+    "hash": r"#\{(?P<hash>[^{}]{1,200})\}", "percent": r"(?<!\w)%(?P<percent>[A-Za-z][\w.\- ]{1,200}?)%(?!\w)", "dollars": r"(?<!\w)\$(?P<dollars>[A-Za-z](?:[\w.\- ]{0,200}?\w)?)\$(?![\w{])", "printf": r"(?<!\S)(?P<printf>%[sd])(?=[\s.,;]|$)",
 }
 UNSURE = {
-    "shell": r"\$\{(?P<shell>[^{}]{1,60})\}", "empty": r"\{\{(?P<empty>\s*)\}\}", "brace": r"\{(?P<brace>[^{}]{1,60})\}", "bracket": r"\[(?P<bracket>[^\[\]]{1,60})\]",
-    "angle": r"<(?P<angle>[A-Za-z][^<>]{0,60})>",
+    "shell": r"\$\{(?P<shell>[^{}]{1,200})\}", "empty": r"\{\{(?P<empty>\s*)\}\}", "brace": r"\{(?P<brace>[^{}]{1,200})\}", "bracket": r"\[(?P<bracket>[^\[\]]{1,200})\]",
+    "angle": r"<(?P<angle>[A-Za-z][^<>]{0,200})>",
 }
-#: Seed spans in the unsure syntaxes (fixed values).
-SPAN_SEEDS = ("bracket to be completed", "bracket to be confirmed", "bracket insert text here", "brace first name", "brace job title", "bracket job title", "shell job title", "angle job title", "angle company name")
+#: Inner texts of seed spans (fixed values).
+SPAN_SEEDS = ("to be completed", "to be confirmed", "to be filled in", "insert text here", "add text", "enter name", "first name", "job title", "company name", "start date", "object object", "tbd", "todo")
 _SPAN = re.compile("|".join([*SURE.values(), *UNSURE.values()]))
 _HINT = re.compile(r"[{\[<@]|\*\||__|%[A-Za-z]|\$[A-Za-z]|&lt;|to be filled in")
-_CUT = re.compile(r"\n+|(?<=[.!?;])\s+(?=\S)")
-_WORD = re.compile(r"[^\W\d_]+|\d+|\.\.\.")
 _INNER = re.compile(r"[a-z]+|[^\W\d_]+")
-_TRUST_SPAN = re.compile(r"(?i)^\s*(?:to be (?:completed|confirmed|filled|determined|added)|insert |add |enter |your |tbd\b|todo\b)")
-_TRUST = {k: re.compile(v) for k, v in TRUSTED.items()}
+_MIX, _PAIR, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), 0x200000366 | 1
+_NUMBER = np.uint64(7)
+
+# classes of UTF-8 bytes: 0 other, 1 letter (and any byte of a longer character), 2 digit
+_BYTE = np.zeros(256, np.uint8)
+_BYTE[97:123] = _BYTE[128:] = 1
+_BYTE[48:58] = 2
+_ENDS, _BLANK = np.isin(np.arange(256), list(b".!?;")), np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
 
 
 def spans(text: str) -> list[tuple[str, str]]:
@@ -93,332 +88,260 @@ def spans(text: str) -> list[tuple[str, str]]:
     return [(m.lastgroup or "", (m[m.lastgroup] or "") if m.lastgroup else "") for m in _SPAN.finditer(text)]
 
 
-def passages(text: str) -> list[str]:
-    """Lines and sentences without the marked spans in them."""
-    if _HINT.search(text):
-        text = _SPAN.sub(" ", text)
-    return [p for p in (x.strip() for x in _CUT.split(text)) if p]
+def _powers(n: int, cache: dict[str, np.ndarray] = {}) -> tuple[np.ndarray, np.ndarray]:  # noqa: B006
+    """The powers of the hash's base and of its inverse modulo 2**64."""
+    if len(cache.get("up", ())) < n:
+        size = 1 << max(16, n.bit_length())
+        for name, base in (("up", _STEP), ("down", pow(_STEP, -1, 1 << 64))):
+            out = np.ones(size, np.uint64)
+            k = 1
+            while k < size:
+                out[k : 2 * k] = out[:k] * np.uint64(pow(base, k, 1 << 64))
+                k *= 2
+            cache[name] = out
+    return cache["up"], cache["down"]
 
 
-def _span_features(kind: str, inner: str) -> tuple[str, ...]:
-    words = _INNER.findall(inner.lower())
-    return tuple(dict.fromkeys(words)) if words else ("(blank)",)
+def _bucket(h: np.ndarray, bits: int) -> np.ndarray:
+    h = h * _MIX
+    h = (h ^ (h >> np.uint64(32))) * _MIX
+    return (h >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def _features(passage: str) -> tuple[str, ...]:
-    words = ["0" if w[0].isdigit() and not (len(w) == 3 and w[0] in "45") else w.lower() for w in _WORD.findall(passage)]
-    caps = [f"^{w}" for w in _WORD.findall(passage) if len(w) > 2 and w.isupper() and not passage.isupper()]
-    pairs = [f"{a} {b}" for a, b in zip(words, words[1:])]
-    return tuple(dict.fromkeys([*words, *caps, *pairs, f"#{min(len(words), 4)}"]))
+class Units:
+    """The passages of a batch of texts: ``feature`` and ``unit`` of each feature, ``record`` and ``letters`` of each unit.
 
+    Passages are cut at line breaks and after sentence marks. All words of the batch are hashed at once: the hash
+    of a word is a difference of running sums, shifted to its beginning.
+    """
 
-class Bayes:
-    """Naive Bayes of two classes over sets of features, fitted by PU expectation-maximisation.
+    def __init__(self, texts: list[str]):
+        parts = [(t.lower() + "\n").encode("utf-8", "replace") for t in texts]
+        self.records = len(texts)
+        data = np.frombuffer(b"".join(parts), np.uint8)
+        n = len(data)
+        kind, blank = _BYTE[data], _BLANK[data]
+        cut = data == 10
+        cut[:-1] |= _ENDS[data[:-1]] & blank[1:]
+        part = np.cumsum(cut) - cut
+        change = np.ones(n + 1, bool)
+        change[1:-1] = kind[1:] != kind[:-1]
+        begin = np.flatnonzero(change[:-1] & (kind > 0))
+        end = np.flatnonzero(change[1:] & (kind > 0)) + 1
+        up, down = _powers(n + 1)
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum((data + np.uint64(1)) * up[:n], out=sums[1:])
+        word = (sums[end] - sums[begin]) * down[begin]
+        # numbers are alike but for the codes of errors
+        code = (end - begin == 3) & np.isin(data[begin], (52, 53))
+        word[(kind[begin] == 2) & ~code] = _NUMBER
+        where = part[begin]
+        units = int(part[-1]) + 1 if n else 0
+        letters = np.bincount(part[~blank], minlength=units)
+        alive = letters > 0
+        new = np.cumsum(alive) - 1
+        near = where[1:] == where[:-1]
+        pairs = word[:-1][near] * _PAIR + word[1:][near]
+        self.feature = np.concatenate([_bucket(word, BITS), _bucket(pairs, BITS)])
+        self.unit = np.concatenate([new[where], new[where[1:][near]]])
+        owner = np.repeat(np.arange(len(parts)), np.fromiter(map(len, parts), np.int64, len(parts)))
+        self.record = owner[np.flatnonzero(np.concatenate([[True], cut[:-1]]))[:units][alive]] if n else np.zeros(0, np.int64)
+        self.letters = letters[alive]
+
+    def score(self, weights: np.ndarray) -> np.ndarray:
+        """The sum of the weights of each unit's features."""
+        return np.bincount(self.unit, weights[self.feature], len(self.record))
+
+
+def _span_features(kind: str, inner: str) -> list[int]:
+    """Buckets of a span: its words, and a trusted syntax (that another one is never trusted says nothing about its spans)."""
+    words = list(dict.fromkeys(_INNER.findall(inner.lower()))) or ["(blank)"]
+    return [_text_hash(x) for x in words + [f"syntax {kind}"] * (kind in SURE)]
+
+
+def _text_hash(x: str, cache: dict[str, int] = {}) -> int:  # noqa: B006
+    if (h := cache.get(x)) is None:
+        if len(cache) > 100_000:
+            cache.clear()
+        value = 0
+        for b in x.encode("utf-8", "replace"):
+            value = (value * _STEP + b + 1) % (1 << 64)
+        h = cache[x] = int(_bucket(np.array([value], np.uint64), SPAN_BITS)[0])
+    return h
+
+
+def _weights(positive: np.ndarray, real: np.ndarray, smooth: float, low: float) -> np.ndarray:
+    """Logarithms of the ratios of a feature's probabilities in both classes, smoothed towards its frequency in both together."""
+    p, r = 1 + positive.sum(), 1 + real.sum()
+    back = smooth * (positive + real) / (p + r)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        w = np.log((positive + back) / (p + smooth)) - np.log((real + back) / (r + smooth))
+    return np.where(positive + real > 0, np.clip(w, low, HIGH), 0.0)
+
+
+def _odds(prior: float) -> float:
+    return math.log(prior / (1 - prior))
+
+
+def _posterior(odds: np.ndarray | float) -> np.ndarray | float:
+    return 1 / (1 + np.exp(-np.clip(odds, -60, 60)))
+
+
+def _mixed(seeds: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """Counts of the positive class: trusted ones, and found ones with the same mass, so that the size of a table doesn't matter."""
+    return seeds + found * (seeds.sum() / found.sum()) if found.sum() > 0 else seeds
+
+
+def seed_records(kind: int) -> list[str]:
+    return [r for r in SEEDS[kind].replace("\n", "|").split("|") if r]
 
-    ``units`` are the unlabelled units with their counts, ``trusted`` the positive ones. ``agree`` maps the
-    units' shares to factors by which those of unlabelled units are reduced in each round. A feature's
-    probability in a class is smoothed towards its frequency in both together.
-    """
 
-    def __init__(
-        self,
-        units: dict[tuple[str, ...], float],
-        trusted: set[tuple[str, ...]],
-        prior: float = PRIOR,
-        rounds: int = ROUNDS,
-        agree: Callable[[dict[tuple[str, ...], float]], dict[tuple[str, ...], float]] | None = None,
-    ):
-        self.rest = 0.0
-        share = {u: 1.0 if u in trusted else 0.0 for u in (*units, *trusted)}
-        # copies of a unit say little more than one
-        weight = {u: 1 + math.log(max(units.get(u, 0.0), 1.0)) for u in share}
-        self.base = math.log(prior / (1 - prior))
-        for last in range(rounds, -1, -1):
-            mass = [1.0, 1.0]
-            count: dict[str, list[float]] = defaultdict(lambda: [0.0, 0.0])
-            for u, p in share.items():
-                own = ((1 - p) * weight[u], p * weight[u] * (1 if u in trusted else UNLABELLED))
-                for k in (0, 1):
-                    mass[k] += own[k]
-                    for f in u:
-                        count[f][k] += own[k]
-            self._weigh(count, mass)
-            if last:
-                share = {u: 1.0 if u in trusted else self.posterior(u) for u in share}
-                if agree:
-                    factors = agree(share)
-                    share = {u: p if u in trusted else p * factors.get(u, 1.0) for u, p in share.items()}
-                # the classes differ in size so much that small shares of real units would teach the small class
-                share = {u: p if p >= SURE_SHARE else 0.0 for u, p in share.items()}
+class Model:
+    """Both models and the decision on a field. ``seeds`` are the trusted records of each positive class."""
+
+    def __init__(self, seeds: dict[int, list[str]] | None = None):
+        seeds = seeds or {k: seed_records(k) for k in (FILLER, NOTE)}
+        own = {k: np.bincount(Units(v).feature, minlength=1 << BITS).astype(float) for k, v in seeds.items()}
+        self.trusted = own[FILLER] + own[NOTE]
+        self.span_seeds = np.zeros(1 << SPAN_BITS)
+        for inner in SPAN_SEEDS:
+            np.add.at(self.span_seeds, _span_features("", inner), 1.0)
+        np.add.at(self.span_seeds, [_text_hash(f"syntax {kind}") for kind in SURE], 1.0)
+        notes, filler = len(seeds[NOTE]), len(seeds[FILLER])
+        self.notes = _weights(own[NOTE], own[FILLER], *OF_PASSAGES) * (self.trusted > 0)
+        self.note_odds = _odds(notes / max(notes + filler, 2)) if notes else -60.0
+        self.prose = self.spans = None
+
+    def fit(self, passes: Callable[[Callable[[Iterator[list[str]]], dict[str, np.ndarray]]], dict[str, np.ndarray]]) -> Model:
+        """Fitted by ``passes``, which applies a counting function to all texts and adds up what it gives."""
+        total = passes(_totals)
+        sure = total["sure"] + self.span_seeds * max(1.0, total["sure"].sum() / self.span_seeds.sum())
+        self.prose, self.spans = _weights(self.trusted, total["prose"], *OF_PASSAGES), _weights(sure, total["unsure"], *OF_SPANS)
+        for _ in range(ROUNDS):
+            found = passes(self.positives)
+            self.prose = _weights(_mixed(self.trusted, found["prose"]), np.maximum(total["prose"] - found["prose"], 0), *OF_PASSAGES)
+            self.spans = _weights(sure + found["unsure"], np.maximum(total["unsure"] - found["unsure"], 0), *OF_SPANS)
+        return self
 
     @classmethod
-    def counted(cls, count: dict[str, list[float]], mass: list[float], prior: float) -> Bayes:
-        """The model of counts in both classes, of the features that positive units hold; all others have the weight ``rest``."""
-        self = cls.__new__(cls)
-        self.base = math.log(prior / (1 - prior))
-        self._weigh(count, mass)
-        # a feature of unlabelled units alone has the same weight however often it occurs
-        self.rest = math.log(SMOOTH / (mass[0] + mass[1] + SMOOTH)) - math.log((mass[1] + SMOOTH) / (mass[0] + SMOOTH))
-        return self
+    def of(cls, texts: list[str], seeds: dict[int, list[str]] | None = None) -> Model:
+        """The model of texts at hand."""
+        return cls(seeds).fit(lambda count: count(iter([texts])))
+
+    def span_odds(self, kind: str, inner: str) -> float:
+        return _odds(SPAN_PRIOR) + float(self.spans[_span_features(kind, inner)].sum())
+
+    def positives(self, batches: Iterator[list[str]]) -> dict[str, np.ndarray]:
+        """Counts of the features of unlabelled units that the model finds positive."""
+        prose, unsure = np.zeros(1 << BITS), np.zeros(1 << SPAN_BITS)
+        for texts in batches:
+            marked, rest = _split(texts)
+            for kind, inner in (s for own in marked for s in own):
+                if kind not in SURE and (p := _posterior(self.span_odds(kind, inner))) >= SURE_SHARE:
+                    np.add.at(unsure, _span_features(kind, inner), p)
+            u = Units(rest)
+            p = _posterior(_odds(PRIOR) + u.score(self.prose))
+            letters, bad = (np.bincount(u.record, w, u.records)[u.record] for w in (u.letters, u.letters * p))
+            # the share of the other letters of its field that are positive; a passage by itself stands for itself
+            p = p * np.where(letters > u.letters, (bad - u.letters * p) / np.maximum(letters - u.letters, 1), 1.0)
+            p[p < SURE_SHARE] = 0
+            at = p[u.unit] > 0
+            prose += np.bincount(u.feature[at], p[u.unit[at]], 1 << BITS)
+        return {"prose": prose, "unsure": unsure}
+
+    def judge(self, texts: list[str]) -> np.ndarray:
+        """Whether each field is a case: a placeholder or a note anywhere, or filler and messages for the most part."""
+        marked, rest = _split(texts)
+        case = np.array([any(self.span_odds(*s) > 0 for s in own) for own in marked], bool)
+        rest = [cut if cut.strip() else t for t, cut in zip(texts, rest)]
+        u = Units(rest)
+        bad = _odds(PRIOR) + u.score(self.prose) > 0
+        note = bad & (self.note_odds + u.score(self.notes) > 0)
+        case[u.record[note]] = True
+        letters, filler = (np.bincount(u.record, w, u.records) for w in (u.letters, u.letters * (bad & ~note)))
+        return case | (filler > MOST * letters)
 
-    def _weigh(self, count: dict[str, list[float]], mass: list[float]) -> None:
-        self.weights = {}
-        for f, c in count.items():
-            back = SMOOTH * (c[0] + c[1]) / (mass[0] + mass[1])
-            self.weights[f] = math.log((c[1] + back) / (mass[1] + SMOOTH)) - math.log((c[0] + back) / (mass[0] + SMOOTH))
+    def is_residue(self, text: str) -> bool:
+        return bool(text.strip()) and bool(self.judge([text])[0])
 
-    def odds(self, unit: tuple[str, ...]) -> float:
-        """Logarithm of the odds of the positive class; features that weren't fitted say nothing, or ``rest`` if counted."""
-        weights, rest = self.weights, self.rest
-        return self.base + sum(weights.get(f, rest) for f in unit)
 
-    def posterior(self, unit: tuple[str, ...]) -> float:
-        return 1 / (1 + math.exp(-max(-60.0, min(60.0, self.odds(unit)))))
+def _split(texts: list[str]) -> tuple[list[list[tuple[str, str]]], list[str]]:
+    """The spans of each text, and the texts without them."""
+    marked = [spans(t) for t in texts]
+    return marked, [_SPAN.sub(" ", t) if own else t for t, own in zip(texts, marked)]
 
 
-def _agreement(records: list[list[tuple[tuple[str, ...], int]]], share: dict[tuple[str, ...], float]) -> dict[tuple[str, ...], float]:
-    """For each unit the mean positive share of the other letters of its records; 1 for records of a single unit."""
-    total: dict[tuple[str, ...], list[float]] = defaultdict(lambda: [0.0, 0.0])
-    for record in records:
-        letters = sum(n for _, n in record)
-        bad = sum(n * share[u] for u, n in record)
-        for u, n in record:
-            own = total[u]
-            own[0] += (bad - n * share[u]) / (letters - n) if letters > n else 1.0
-            own[1] += 1
-    return {u: a / b for u, (a, b) in total.items()}
+def _totals(batches: Iterator[list[str]]) -> dict[str, np.ndarray]:
+    """Counts of the features of all passages, and of the spans in sure and in other syntaxes."""
+    out = {"prose": np.zeros(1 << BITS), "sure": np.zeros(1 << SPAN_BITS), "unsure": np.zeros(1 << SPAN_BITS)}
+    for texts in batches:
+        marked, rest = _split(texts)
+        for kind, inner in (s for own in marked for s in own):
+            np.add.at(out["sure" if kind in SURE else "unsure"], _span_features(kind, inner), 1.0)
+        out["prose"] += np.bincount(Units(rest).feature, minlength=1 << BITS)
+    return out
 
 
-def _seeds() -> dict[tuple[str, ...], int]:
-    """The units of the seed records with their classes."""
-    return {_features(p): kind for kind, block in SEEDS.items() for record in block.replace("\n", "|").split("|") for p in passages(record) or [record]}
+def _slabs(values: Iterable[str | None]) -> Iterator[tuple[list[int], list[str]]]:
+    """The values that hold a text, with their places, a bounded number of characters at once."""
+    at, texts, chars = [], [], 0
+    for i, v in enumerate(values):
+        if v and not v.isspace():
+            if texts and chars + len(v) > SLAB_CHARS:
+                yield at, texts
+                at, texts, chars = [], [], 0
+            at.append(i)
+            texts.append(v)
+            chars += len(v)
+    if texts:
+        yield at, texts
 
 
-class Model:
-    """Both models and the decision on a field."""
+def _added(parts: DataFrame, to: int) -> DataFrame:
+    """Arrays of equal names added up in ``to`` tasks; an array is its non-zero places and values."""
 
-    def __init__(self, texts: list[str]):
-        span_units: Counter = Counter()
-        span_trust: dict[tuple[str, ...], int] = {_span_features(*s.split(" ", 1)): 1 for s in SPAN_SEEDS}
-        units: Counter = Counter()
-        trusted = _seeds()
-        records: list[list[tuple[tuple[str, ...], int]]] = []
-        known: dict[str, tuple[str, ...]] = {}
-        for text in texts:
-            for kind, inner in spans(text):
-                f = _span_features(kind, inner)
-                span_units[f] += 1
-                if kind in SURE or _TRUST_SPAN.search(inner):
-                    span_trust[f] = 1
-            record = []
-            for p in passages(text):
-                f = known.get(p)
-                if f is None:
-                    f = known[p] = _features(p)
-                record.append((f, len(p)))
-                units[f] += 1
-                for kind, pattern in _TRUST.items():
-                    if f not in trusted and pattern.search(p):
-                        trusted[f] = kind
-            records.append(record)
-        trusted.pop((), None)
-        self.spans = Bayes(span_units, set(span_trust), prior=0.3)
-        self.prose = Bayes(units, set(trusted), agree=lambda share: _agreement(records, share))
-        notes = {u for u, k in trusted.items() if k == NOTE}
-        self.notes = Bayes(dict.fromkeys(trusted.keys() - notes, 1.0), notes, prior=len(notes) / max(len(trusted), 1), rounds=0)
-        self._spans: dict[tuple[str, str], bool] = {}
-        self._prose: dict[str, int] = {}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, np.ndarray] = {}
+        for b in batches:
+            for name, at, value in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+                own = sums.setdefault(name, np.zeros(1 << max(BITS, SPAN_BITS)))
+                own[np.frombuffer(at, np.int32)] += np.frombuffer(value, np.float64)
+        yield _packed(sums)
 
-    @classmethod
-    def counted(cls, spans: Bayes, prose: Bayes, notes: Bayes) -> Model:
-        self = cls.__new__(cls)
-        self.spans, self.prose, self.notes, self._spans, self._prose = spans, prose, notes, {}, {}
-        return self
+    return parts.repartition(to).mapInArrow(run, _PACKED)
 
-    def span_is_residue(self, kind: str, inner: str) -> bool:
-        if kind in SURE:
-            return True
-        known = self._spans.get((kind, inner))
-        if known is None:
-            f = _span_features(kind, inner)
-            known = self._spans[kind, inner] = any(x in self.spans.weights for x in f) and self.spans.odds(f) > 0
-        return known
-
-    def passage_class(self, passage: str) -> int:
-        known = self._prose.get(passage)
-        if known is None:
-            f = _features(passage)
-            known = REAL if self.prose.odds(f) <= 0 else NOTE if self.notes.odds(f) > 0 else FILLER
-            self._prose[passage] = known
-        return known
 
-    def is_residue(self, text: str) -> bool:
-        """Whether a field is a case: a placeholder or a note anywhere, or filler and messages for the most part."""
-        if len(self._prose) > CACHE_UNITS:
-            self._prose = {}
-        marked = spans(text)
-        if any(self.span_is_residue(*s) for s in marked):
-            return True
-        bad = total = 0
-        for p in passages(text) if not (marked and _SPAN.sub("", text).strip() == "") else [text]:
-            kind = self.passage_class(p)
-            if kind == NOTE:
-                return True
-            total += len(p)
-            bad += len(p) if kind == FILLER else 0
-        return bad > MOST * total
-
-
-def _units(texts: DataFrame) -> DataFrame:
-    """``what, key, hash, n, trust, hashes, letters``: counts of the span (s) and passage (p) units, and records (r) of passages."""
+_PACKED = "name string, at binary, value binary"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units: dict[tuple[str, str, int], int] = {}
-        records: Counter = Counter()
-        known: dict[str, tuple[tuple[str, str, int], int]] = {}
-
-        def hashed(key: str) -> int:
-            return int.from_bytes(hashlib.blake2b(key.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
-
-        def flush() -> pa.RecordBatch:
-            u, r = list(units.items()), list(records.items())
-            cols = (
-                pa.array([k[0] for k, _ in u] + ["r"] * len(r), pa.string()), pa.array([k[1] for k, _ in u] + [None] * len(r), pa.string()),
-                pa.array([hashed(k[1]) for k, _ in u] + [None] * len(r), pa.int64()), pa.array([n for _, n in u] + [n for _, n in r], pa.int64()),
-                pa.array([k[2] for k, _ in u] + [None] * len(r), pa.int32()), pa.array([None] * len(u) + [[h for h, _ in k] for k, _ in r], pa.list_(pa.int64())),
-                pa.array([None] * len(u) + [[n for _, n in k] for k, _ in r], pa.list_(pa.int32())),
-            )
-            units.clear()
-            records.clear()
-            return pa.RecordBatch.from_arrays(list(cols), names=["what", "key", "hash", "n", "trust", "hashes", "letters"])
 
-        for batch in batches:
-            for column in batch.columns:
-                for text in column.to_pylist():
-                    if text is None:
-                        continue
-                    for kind, inner in spans(text):
-                        u = ("s", "\n".join(_span_features(kind, inner)), int(kind in SURE or bool(_TRUST_SPAN.search(inner))))
-                        units[u] = units.get(u, 0) + 1
-                    record = []
-                    for p in passages(text):
-                        found = known.get(p)
-                        if found is None:
-                            key = "\n".join(_features(p))
-                            trust = next((kind for kind, pattern in _TRUST.items() if pattern.search(p)), 0)
-                            found = known[p] = (("p", key, trust), hashed(key))
-                        units[found[0]] = units.get(found[0], 0) + 1
-                        record.append((found[1], len(p)))
-                    if record:
-                        records[tuple(record)] += 1
-                    if len(units) + len(records) > COUNTED:
-                        yield flush()
-                    if len(known) > CACHE_UNITS:
-                        known = {}
-        yield flush()
-
-    return texts.mapInArrow(run, "what string, key string, hash bigint, n bigint, trust int, hashes array<bigint>, letters array<int>")
-
-
-def _by_feature(units: DataFrame, **sums: object) -> dict[str, tuple[float, ...]]:
-    """Sums over the units that hold each feature; those over all units at the empty feature."""
-    each = units.select(F.explode(F.concat(F.array(F.lit("")), F.split("key", "\n"))).alias("f"), *[c.cast("double").alias(k) for k, c in sums.items()])
-    return {r["f"]: tuple(r[k] or 0.0 for k in sums) for r in each.groupBy("f").agg(*[F.sum(k).alias(k) for k in sums]).collect()}
-
-
-def _fitted(units: DataFrame, trusted: dict[str, tuple[float, ...]], prior: float, parts: DataFrame | None = None) -> Bayes:
-    """``Bayes`` of the units ``key, hash, weight, trust``; ``trusted`` has the trusted weight of each feature.
-
-    Units below SURE_SHARE count as real text, so the counts of a round are those of all units less those of its
-    positive ones. ``parts`` are the passages ``record, n, hash, letters`` of all records, for their agreement.
+def _packed(sums: dict[str, np.ndarray]) -> pa.RecordBatch:
+    at = {k: np.flatnonzero(v).astype(np.int32) for k, v in sums.items()}
+    return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([at[k].tobytes() for k in sums], pa.binary()), pa.array([v[at[k]].tobytes() for k, v in sums.items()], pa.binary())], names=["name", "at", "value"])
+
+
+def fit(df: DataFrame, fields: tuple[str, ...], seeds: dict[int, list[str]] | None = None) -> Model:
+    """The model of all values of the fields, whatever their number: ROUNDS + 1 passes over the table.
+
+    A task's counts are at most 2**BITS numbers; they are added up by as many tasks as the root of the number of
+    tasks, and those sums in one, so no task and not the driver receives more than a bounded number of arrays each.
     """
-    sc = units.sparkSession.sparkContext
-    total: dict[str, float] = {}
+    rows = df.select(*[df[f] for f in fields])
 
-    def count_all(wanted: set[str]) -> None:
-        shared = sc.broadcast(wanted)
+    def passes(count: Callable[[Iterator[list[str]]], dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
+        shared = df.sparkSession.sparkContext.broadcast(count)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own: dict[str, float] = defaultdict(float)
-            for batch in batches:
-                for key, weight in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    own[""] += weight
-                    for f in shared.value.intersection(key.split("\n")):
-                        own[f] += weight
-            yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.string()), pa.array(list(own.values()), pa.float64())], names=["f", "weight"])
-
-        rows = units.select("key", "weight").mapInArrow(run, "f string, weight double").groupBy("f").agg(F.sum("weight").alias("weight")).collect()
-        total.update({r["f"]: r["weight"] for r in rows})
-
-    sure: dict[str, tuple[float, ...]] = {}
-    for last in range(ROUNDS, -1, -1):
-        if new := (trusted.keys() | sure.keys() | {""}) - total.keys():
-            count_all(new)
-        count = {}
-        for f in trusted.keys() | sure.keys() | {""}:
-            t, s = trusted.get(f, (0.0,))[0], sure.get(f, (0.0,))[0]
-            count[f] = [max(total.get(f, 0.0) - t - s, 0.0), t + UNLABELLED * s]
-        mass = [1 + x for x in count.pop("")]
-        model = Bayes.counted(count, mass, prior)
-        if not last:
-            break
-        shared = sc.broadcast(model)
-
-        def score(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            own = shared.value
-            for batch in batches:
-                keys, trust = batch.column(1).to_pylist(), batch.column(3).to_pylist()
-                p = [1.0 if t else own.posterior(k.split("\n")) for k, t in zip(keys, trust)]
-                top = [k if x >= SURE_SHARE and not t else None for k, x, t in zip(keys, p, trust)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(top, pa.string()), batch.column(2), pa.array(p, pa.float64())], names=["hash", "key", "weight", "p"])
-
-        scored = cut(units.select("hash", "key", "weight", "trust").mapInArrow(score, "hash bigint, key string, weight double, p double"))
-        found = scored.where("key is not null")
-        n = found.count()
-        if not n:
-            break  # no unit but the trusted ones is positive, so the next rounds are the same
-        if parts is not None:
-            hashes = found.select("hash")
-            hashes = F.broadcast(hashes) if n <= MAX_SENT else hashes
-            records = parts.join(hashes, "hash", "left_semi").select("record").distinct()
-            own = parts.join(records, "record", "left_semi").join(scored.select("hash", "p", F.col("key").isNotNull().alias("top")), "hash")
-            sums = own.groupBy("record").agg(F.sum("letters").alias("all"), F.sum(F.col("letters") * F.col("p")).alias("bad"))
-            others = F.when(F.col("all") > F.col("letters"), (F.col("bad") - F.col("letters") * F.col("p")) / (F.col("all") - F.col("letters"))).otherwise(1.0)
-            factors = own.where("top").join(sums, "record").groupBy("hash").agg((F.sum(others * F.col("n")) / F.sum("n")).alias("factor"))
-            found = found.join(factors, "hash").withColumn("p", F.col("p") * F.col("factor"))
-        sure = _by_feature(found.where(F.col("p") >= SURE_SHARE), s=F.col("p") * F.col("weight"))
-    return model
-
-
-def fit(df: DataFrame, fields: tuple[str, ...], row_id: str, rows: dict[str, int] | None = None) -> Model:
-    """The model of all values of the fields. A table of more rows than ``rows`` says for any field is counted by the executors.
-
-    Such a model takes features that its table doesn't have for those of real text.
-    """
-    rows = FIT_ROWS if rows is None else rows
-    if df.count() <= min(rows.get(f, min(rows.values())) for f in fields):
-        return Model([r["text"] for f in fields for r in df.select(df[f].alias("text")).where(df[f].isNotNull()).collect()])
-    spark = df.sparkSession
-    out = cut(_units(df.select(*[df[f] for f in fields])))
-
-    def units(what: str, seeds: dict[tuple[str, ...], int]) -> DataFrame:
-        given = spark.createDataFrame([("\n".join(f), kind) for f, kind in seeds.items()], "key string, seed int")
-        own = out.where(F.col("what") == what).groupBy("key").agg(F.sum("n").alias("n"), F.max("trust").alias("trust"), F.first("hash").alias("hash"))
-        both = own.join(F.broadcast(given), "key", "left").withColumn("trust", F.coalesce("seed", "trust")).drop("seed")
-        rest = given.join(own.select("key"), "key", "left_anti").select("key", F.lit(0).cast("bigint").alias("n"), F.col("seed").alias("trust"), F.lit(None).cast("bigint").alias("hash"))
-        both = both.unionByName(rest)
-        return cut(both.select("key", "hash", (1 + F.log(F.greatest(F.coalesce("n", F.lit(1)), F.lit(1)))).alias("weight"), "trust"))
-
-    marked = units("s", {_span_features(*x.split(" ", 1)): 1 for x in SPAN_SEEDS})
-    prose = units("p", _seeds())
-    trusted = _by_feature(prose.where("trust > 0"), weight=F.col("weight"), filler=F.col("trust") == FILLER, note=F.col("trust") == NOTE)
-    notes = {f: [c[1], c[2]] for f, c in trusted.items()}
-    filler, note = notes.pop("")
-    of_notes = Bayes.counted(notes, [1 + filler, 1 + note], note / (filler + note))
-    of_notes.rest = 0.0  # features without a trusted unit are unknown to it
-    parts = out.where("what = 'r'").select(F.monotonically_increasing_id().alias("record"), "n", F.explode(F.arrays_zip("hashes", "letters")).alias("x"))
-    parts = parts.select("record", "n", "x.hashes", "x.letters").withColumnRenamed("hashes", "hash")
-    return Model.counted(_fitted(marked, _by_feature(marked.where("trust > 0"), weight=F.col("weight")), 0.3), _fitted(prose, trusted, PRIOR, parts), of_notes)
+            yield _packed(shared.value(texts for b in batches for c in b.columns for _, texts in _slabs(c.to_pylist())))
+
+        parts = rows.mapInArrow(run, _PACKED)
+        tasks = math.isqrt(max(1, rows.rdd.getNumPartitions()))
+        out = {}
+        for r in _added(_added(parts, tasks) if tasks > 1 else parts, 1).collect():
+            out[r["name"]] = np.zeros(1 << (BITS if r["name"] == "prose" else SPAN_BITS))
+            out[r["name"]][np.frombuffer(r["at"], np.int32)] = np.frombuffer(r["value"], np.float64)
+        return {k: out.get(k, np.zeros(1 << (BITS if k == "prose" else SPAN_BITS))) for k in ("prose", "sure", "unsure")}
+
+    return Model(seeds).fit(passes)
 
 
 def residue(df: DataFrame, fields: tuple[str, ...] = ("title", "description"), row_id: str = "row_id", model: Model | None = None) -> DataFrame:
@@ -427,19 +350,18 @@ def residue(df: DataFrame, fields: tuple[str, ...] = ("title", "description"), r
     Null, empty and blank fields are no cases; rows with a null id are left out; repeated rows count once
     each; an empty table gives no rows; further columns are not read. Long texts are read whole.
     """
-    shared = df.sparkSession.sparkContext.broadcast(model or fit(df, fields, row_id))
+    shared = df.sparkSession.sparkContext.broadcast(model or fit(df, fields))
     kind = df.schema[row_id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
         for batch in batches:
-            at, names = [], []
+            found, names = [], []
             for k, name in enumerate(fields, 1):
-                for i, text in enumerate(batch.column(k).to_pylist()):
-                    if text and not text.isspace() and own.is_residue(text):
-                        at.append(i)
-                        names.append(name)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(names, pa.string())], names=["row_id", "field"])
+                for at, texts in _slabs(batch.column(k).to_pylist()):
+                    own = np.array(at)[shared.value.judge(texts)].tolist()
+                    found += own
+                    names += [name] * len(own)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(found, pa.int64())), pa.array(names, pa.string())], names=["row_id", "field"])
 
     rows = df.select(df[row_id].alias("row_id"), *[df[f] for f in fields]).where("row_id is not null")
     return rows.mapInArrow(run, f"row_id {kind}, field string").withColumnRenamed("row_id", row_id)

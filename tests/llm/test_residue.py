@@ -1,3 +1,6 @@
+import random
+
+import numpy as np
 import pytest
 
 from feedloom.llm import residue as R
@@ -15,7 +18,7 @@ BAD = [
 
 @pytest.fixture(scope="module")
 def model():
-    return R.Model(REAL * 30 + ["Payroll Clerk", "JavaScript Developer", "Title Examiner", "404 Ranch Tour Guide", "[Remote] Data Steward"] * 30)
+    return R.Model.of(REAL * 30 + ["Payroll Clerk", "JavaScript Developer", "Title Examiner", "404 Ranch Tour Guide", "[Remote] Data Steward"] * 30)
 
 
 @pytest.mark.parametrize("text", REAL + ["JavaScript Developer", "Title Examiner", "404 Ranch Tour Guide", "[Remote] Data Steward"])
@@ -29,7 +32,7 @@ def test_residue(model, text):
 
 
 def test_unsure_syntax_is_learnt_from_sure_one(model):
-    learnt = R.Model(REAL * 30 + ["{{start date}} on", "@@start date@@", "[[team name]] x"])
+    learnt = R.Model.of(REAL * 30 + ["Test Engineer {Embedded}"] * 5 + ["{{start date}} on", "@@start date@@", "[[team name]] x"])
     assert learnt.is_residue("You begin on {start date} in the harbour.") and learnt.is_residue("[team name]")
     assert not learnt.is_residue("Test Engineer {Embedded}")
 
@@ -43,17 +46,39 @@ def test_rows(spark, rows, model):
     assert sorted(r["row_id"] or 0 for r in R.without_residue(df, model=model).collect()) == [0, 2, 3]
 
 
-def test_large_tables_are_fitted_whole(spark):
+def test_a_distributed_fit_is_the_local_one(spark):
     rare = "Kindly reload: lorem glitch in the harbour widget"
     texts = [REAL[i % 8] + f"\nBoat {'abcdefgh'[i % 8]} {'stuvw'[i % 5]} sails." for i in range(80)] + BAD + [rare, "Harbour widget glitch, kindly reload", "{start date}", "{{start date}}"]
-    df = spark.createDataFrame([(i, "Clerk" if i % 2 else None, x) for i, x in enumerate(texts)], "row_id bigint, title string, description string")
-    fields = ("title", "description")
-    whole, counted = R.Model(["Clerk"] * (len(texts) // 2) + texts), R.fit(df, fields, "row_id", {"title": 2, "description": 2})
-    for x in texts:
-        for p in R.passages(x):
-            assert counted.prose.odds(R._features(p)) == pytest.approx(whole.prose.odds(R._features(p)), abs=1e-6)
-            assert counted.passage_class(p) == whole.passage_class(p)
-        for s in R.spans(x):
-            assert counted.spans.odds(R._span_features(*s)) == pytest.approx(whole.spans.odds(R._span_features(*s)), abs=1e-6)
-        assert counted.is_residue(x) == whole.is_residue(x)
-    assert counted.is_residue(rare)
+    df = spark.createDataFrame([(i, "Clerk" if i % 2 else None, x) for i, x in enumerate(texts)], "row_id bigint, title string, description string").repartition(5)
+    whole, counted = R.Model.of(["Clerk"] * (len(texts) // 2) + texts), R.fit(df, ("title", "description"))
+    np.testing.assert_allclose(whole.prose, counted.prose, atol=1e-9)
+    np.testing.assert_allclose(whole.spans, counted.spans, atol=1e-9)
+    assert (whole.judge(texts) == counted.judge(texts)).all()
+
+
+def test_half_of_the_seeds_find_what_the_others_say():
+    """The passages of one half of the seeds are residue to a model that was given the other half and pages that mix both."""
+    rng = random.Random(5)
+    every = [s for s in R.seed_records(R.FILLER) if len(s.split()) > 4]
+    pages = ["\n".join(rng.sample(every, 4)) for _ in range(30)] + REAL * 200
+    seeds = {k: R.seed_records(k)[1::2] for k in (R.FILLER, R.NOTE)}
+    model = R.Model.of(pages, seeds)
+    held_out = [s for s in every if s not in seeds[R.FILLER]]
+    assert model.judge(pages)[:30].mean() >= 0.85 and not model.judge(pages)[30:].any()
+    assert model.judge(held_out).mean() >= 0.4 and R.Model.of(REAL * 30, seeds).judge(held_out).mean() < model.judge(held_out).mean()
+
+
+def test_a_trusted_syntax_is_decided_by_its_score(model):
+    kind, inner = R.spans("See [[nodiscard]] there")[0]
+    assert kind in R.SURE and model.span_odds(kind, inner) > 0
+    model.spans[R._span_features(kind, inner)] = -3
+    assert not model.is_residue("See [[nodiscard]] there, we use it in all of our engines.")
+
+
+def test_units_of_a_batch():
+    texts = ["One two. Three\nfour", "", "404 nights in 1999", "é à\n\n…"]
+    u = R.Units(texts)
+    assert u.record.tolist() == [0, 0, 0, 2, 3, 3] and u.letters.tolist() == [7, 5, 4, 13, 4, 3]
+    alone = R.Units(["Three"])
+    assert set(alone.feature) == set(u.feature[u.unit == 1])  # a word's hash doesn't depend on its place
+    assert len(set(R.Units(["404"]).feature) & set(R.Units(["500"]).feature)) == 1 and set(R.Units(["12"]).feature) == set(R.Units(["1999"]).feature)
