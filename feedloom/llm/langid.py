@@ -5,7 +5,8 @@ of the bytes that followed. A byte's code length is that of PPM's method C with
 longest context known to the language the byte has probability count / (total + distinct), or the coder
 escapes with distinct / (total + distinct) to the next shorter context, and at last to a uniform byte. The
 language of a text is the one in which its code is shortest, its confidence the posterior probability of
-that language among all, with code lengths as likelihoods.
+that language among all. The bytes of a text depend on each other, so a bit of difference between two code
+lengths is worth less than a bit; how much is found on held-out labelled texts.
 
 Strings of up to seven bytes are exact 64-bit keys. The contexts of all languages share one hash table from
 key to row, so a batch's bytes are looked up once for every order and the code lengths of all languages
@@ -51,7 +52,7 @@ _LABELS = {name: code for code, names in NAMES.items() for name in names.split()
 _SHORT = "ltd inc corp co llp ltée ltee st dr mr mrs sr jr no vs etc"
 _END = re.compile(r"\n+|(?<=[。！？])|(?<=[.!?])\s+")
 _SHORT_END = re.compile(r"(?:^|\W)(?:" + "|".join(_SHORT.split()) + r")\.$|(?:^|\W)\w\.$", re.I)
-_LETTER = re.compile(r"[^\W\d_]")
+_DIGITS = re.compile(r"\d+")
 _ADDRESS = re.compile(r"https?://\S+|www\.\S+|[\w.+-]+@[\w-]+\.\S+")
 
 
@@ -85,11 +86,20 @@ def _plain(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFD", text) if not (0x300 <= ord(c) <= 0x36F)) if not text.isascii() else text
 
 
-def normal(text: str) -> bytes:
-    """Lower case, no addresses, numbers as one digit, white space as blanks, in UTF-8 between two blanks."""
-    if "@" in text or "://" in text or "www." in text:
-        text = _ADDRESS.sub(" ", text)
-    return (" " + " ".join(re.sub(r"\d+", "0", text.lower()).split()) + " ").encode("utf-8", "replace")
+def normal(parts: Sequence[str]) -> tuple[bytes, np.ndarray]:
+    """All parts as one string of bytes, and the length of each: lower case, no addresses, numbers as one digit, white
+    space as blanks, in UTF-8 between two blanks. The parts are treated in one go."""
+    plain = [_ADDRESS.sub(" ", p) if "@" in p or "://" in p or "www." in p else p for p in parts]
+    whole = " \0 ".join(["", *(p.replace("\0", " ") if "\0" in p else p for p in plain), ""]).lower()
+    data = np.frombuffer((" ".join(_DIGITS.sub("0", whole).split())).encode("utf-8", "replace"), np.uint8)
+    # "\0 a b \0 c \0": a part runs from the blank after a mark to the blank before the next
+    marks = np.flatnonzero(data == 0)
+    lengths = np.diff(marks) - 1
+    short = lengths < 2  # an empty part, whose two blanks are one
+    if short.any():
+        data = np.insert(data, marks[1:][short], 32)
+        lengths = np.maximum(lengths, 2)
+    return data[data > 0].tobytes(), lengths
 
 
 class PPM:
@@ -104,9 +114,8 @@ class PPM:
         self.languages = sorted({lang for lang, _ in samples})
         counted = []
         for lang in self.languages:
-            parts = [v for x, text in samples if x == lang for v in {normal(text), normal(_plain(text))}]
-            lengths = np.fromiter(map(len, parts), np.int64, len(parts))
-            data = np.frombuffer(b"".join(parts), np.uint8)
+            joined, lengths = normal([v for x, text in samples if x == lang for v in sorted({text, _plain(text)})])
+            data = np.frombuffer(joined, np.uint8)
             since = np.arange(len(data)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
             counted.append([np.unique(k[since >= size - 1], return_counts=True) for size, k in self._keys(data)])
         n = len(self.languages)
@@ -143,6 +152,8 @@ class PPM:
         self.chain = chain.astype(np.float32)
         self.shorter = np.where(np.arange(total_rows + 1) >= offset[ORDER], suffix, np.arange(total_rows + 1)).astype(np.int32)
         self._table(strings)
+        #: What a bit of difference between two languages is worth; less than one, as neighbouring bytes depend on each other.
+        self.worth = 1.0
 
     @staticmethod
     def _keys(data: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -221,8 +232,13 @@ def _smooth(cost: np.ndarray) -> np.ndarray:
     return np.array(path[::-1])
 
 
-def _confidence(cost: np.ndarray, which: int) -> float:
-    return float(1 / np.exp2(np.clip(cost[which] - cost, -60, 60)).sum())
+def _confidence(cost: np.ndarray, which: int, worth: float) -> float:
+    return float(1 / np.exp2(np.clip((cost[which] - cost) * worth, -60, 60)).sum())
+
+
+#: Bytes of letters: Latin ones, and first bytes of longer characters but those of punctuation and symbols.
+_LETTERS = np.zeros(256, bool)
+_LETTERS[97:123] = _LETTERS[0xC3:0xE2] = _LETTERS[0xE3:] = True
 
 
 def segments(texts: list[str], model: PPM) -> Iterator[list[tuple[int, int, str, float, int]]]:
@@ -234,37 +250,67 @@ def segments(texts: list[str], model: PPM) -> Iterator[list[tuple[int, int, str,
     at = 0
     while at < len(texts):
         low, size = at, 0
-        spans, data = [], []
+        spans = []
         while at < len(texts) and (at == low or size < SLAB_BYTES):
-            own = sentences(texts[at])
-            spans.append(own)
-            data += [normal(texts[at][s:e]) for s, e in own]
-            size += sum(map(len, data[len(data) - len(own) :]))
+            spans.append(sentences(texts[at]))
+            size += len(texts[at])
             at += 1
-        lengths = np.fromiter(map(len, data), np.int64, len(data))
-        cost = model.code_lengths(np.frombuffer(b"".join(data), np.uint8), np.cumsum(lengths) - lengths) if data else np.zeros((0, 1))
+        joined, lengths = normal([t[s:e] for t, own in zip(texts[low:at], spans) for s, e in own])
+        data, begin = np.frombuffer(joined, np.uint8), np.cumsum(lengths) - lengths
+        if not len(lengths):
+            yield from ([] for _ in spans)
+            continue
+        cost = model.code_lengths(data, begin)
+        wide = np.fromiter((e - s for own in spans for s, e in own), np.int64, len(lengths))
+        letters = np.add.reduceat(_LETTERS[data].astype(np.int32), begin)
+        known = (cost.min(1) <= FOREIGN_BITS * lengths) & ((lengths > 2 * wide) | (letters >= LEAST_LETTERS))
+        best = cost.argmin(1)
         k = 0
-        for text, own in zip(texts[low:at], spans):
-            bits, nbytes = cost[k : k + len(own)], lengths[k : k + len(own)]
-            k += len(own)
-            known = [
-                i for i, (s, e) in enumerate(own)
-                if bits[i].min() / nbytes[i] <= FOREIGN_BITS and (nbytes[i] > 2 * (e - s) or len(_LETTER.findall(_ADDRESS.sub("", text[s:e]))) >= LEAST_LETTERS)
-            ]
+        for own in spans:
+            mine = (k + np.flatnonzero(known[k : k + len(own)])).tolist()
             out: list[tuple[int, int, str, float, int]] = []
-            if known:
-                path = _smooth(bits[known])
+            if mine:
+                first = best[mine[0]]
+                # where every sentence is cheapest in one language, so is the whole
+                path = [int(first)] * len(mine) if (best[mine] == first).all() else _smooth(cost[mine]).tolist()
                 i = 0
-                while i < len(known):
+                while i < len(mine):
                     j = i
-                    while j < len(known) and path[j] == path[i]:
+                    while j < len(mine) and path[j] == path[i]:
                         j += 1
-                    together = bits[known[i:j]].sum(0)
-                    out.append((own[known[i]][0], own[known[j - 1]][1], model.languages[path[i]], _confidence(together, path[i]), j - i))
+                    together = cost[mine[i:j]].sum(0)
+                    out.append((own[mine[i] - k][0], own[mine[j - 1] - k][1], model.languages[path[i]], _confidence(together, path[i], model.worth), j - i))
                     i = j
+            k += len(own)
             yield out
 
 
+#: Share of the labelled texts that is held out to find what a bit is worth, and the worths that are tried.
+HELD_OUT, WORTHS = 5, np.geomspace(0.01, 1.0, 41)
+
+
+def _worth(labelled: Sequence[tuple[str, str]]) -> float:
+    """The worth of a bit under which held-out sentences' confidences fit their labels best (least log loss).
+
+    Every HELD_OUT-th text of each language is held out from a model of the rest; 1 if there are too few.
+    """
+    place: Counter = Counter()
+    kept, out = [], []
+    for lang, text in labelled:
+        (out if place[lang] % HELD_OUT == HELD_OUT - 1 else kept).append((lang, text))
+        place[lang] += 1
+    parts = [(lang, text[s:e]) for lang, text in out for s, e in sentences(text)]
+    if not parts or len({x for x, _ in kept}) < 2:
+        return 1.0
+    model = PPM(kept)
+    joined, lengths = normal([t for _, t in parts])
+    cost = model.code_lengths(np.frombuffer(joined, np.uint8), np.cumsum(lengths) - lengths)
+    true = np.array([model.languages.index(x) for x, _ in parts])
+    gap = np.clip(cost - cost[np.arange(len(true)), true][:, None], -900, 900)
+    loss = [np.log2(np.exp2(np.clip(-gap * w, -60, 60)).sum(1)).mean() for w in WORTHS]
+    return float(WORTHS[int(np.argmin(loss))])
+
+
 def _samples(samples: DataFrame, lang: str, text: str) -> list[tuple[str, str]]:
     """The labelled samples: all, or of more than MAX_SAMPLES an equal number of each language, those of the lowest text hash.
 
@@ -294,6 +340,7 @@ def _train(samples: DataFrame, docs: DataFrame, lang: str, text: str, more: int
         raise ValueError("no labelled samples")
     model = PPM(clean)
     if more <= 0 or lang not in docs.columns:
+        model.worth = _worth(clean)
         return model
     wanted = F.regexp_extract(F.lower(F.trim(docs[lang])), r"^[^-_.@]*", 0).isin(sorted(_LABELS)) & (F.length(docs[text]) <= MAX_LENGTH)
     taken = docs.select(docs[lang].alias("lang"), docs[text].alias("text")).where(wanted)
@@ -306,7 +353,9 @@ def _train(samples: DataFrame, docs: DataFrame, lang: str, text: str, more: int
             chars[language] += end - begin
         if chars and (own := label_code(r["lang"])) and chars[own] >= 0.8 * sum(chars.values()):
             clean.append((own, r["text"]))
-    return PPM(clean)
+    model = PPM(clean)
+    model.worth = _worth(clean)
+    return model
 
 
 def language_segments(docs: DataFrame, samples: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:

