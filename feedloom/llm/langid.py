@@ -67,18 +67,17 @@ def sentences(text: str) -> list[tuple[int, int]]:
     """Begin and end of each sentence: cut at line breaks and after full stops that end no shortening."""
     out, begin = [], 0
     for m in _END.finditer(text):
-        if text[m.start() : m.end()].startswith("\n"):
-            pass
-        elif m.start() and text[m.start() - 1] == ".":
-            tail = text[max(begin, m.start() - 8) : m.start()]
-            if _SHORT_END.search(tail):
+        start, end = m.span()
+        # only a full stop within a line can end a shortening; words of more than six letters are none
+        if start and text[start - 1] == "." and end > start and text[start] != "\n" and not (start - begin > 7 and text[start - 7 : start - 1].isalnum()):
+            if _SHORT_END.search(text[max(begin, start - 8) : start]):
                 continue
-        if m.end() > begin:
-            out.append((begin, m.end()))
-            begin = m.end()
+        if end > begin:
+            out.append((begin, end))
+            begin = end
     if begin < len(text):
         out.append((begin, len(text)))
-    return [(s, e) for s, e in out if text[s:e].strip()]
+    return [(s, e) for s, e in out if not text[s:e].isspace()]
 
 
 def _plain(text: str) -> str:
