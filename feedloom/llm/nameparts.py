@@ -40,6 +40,9 @@ TITLE = set(
 executive steward editor examiner guide analyste développeur développeuse chargée chargé conseillère conseiller commis technicienne technicien magasinier ingénieure ingénieur administratrice cheffe
 junior senior sr intermediate principal lead hybrid remote contract""".split()
 )
+#: Trade words that name a person at the end of a job title (fixed values).
+PERSONS = {"associate"}
+_ROMAN = re.compile("i{1,3}|iv|v")
 _STOP = set("the of for and de des du la le les et und & + a an".split())
 _SHORT_OF = {s: full for full, shorts in GIVEN.items() for s in shorts.split()}
 _TRADE = set(TRADE)
@@ -128,14 +131,17 @@ def parse(name: str, places: frozenset[str] = frozenset()) -> Name | None:
             continue
         kept.append(p)
     words = [w for p in kept for w in _WORD.findall(p)]
+    plain = [re.sub(r"['’]", "", w.rstrip(".")) for w in words]
+    titled = _is_title(kept, plain)
+    if titled and any(own and own[-1] in PERSONS and all(w in _TITLE or w in _STOP or trade_word(w, False) for w in own) for own in (re.findall(r"[^\W_]+", p) for p in kept)):
+        return None
     core, trade, given = [], [], ""
-    for raw in words:
-        w = re.sub(r"['’]", "", raw.rstrip("."))
+    for raw, w in zip(words, plain):
         if w in _LEGAL or w in _STOP or not w:
             continue
-        if w in _TITLE:
+        if w in _TITLE and titled:
             return None
-        if (t := trade_word(w, raw.endswith("."))) is not None:
+        if w not in _TITLE and (t := trade_word(w, raw.endswith("."))) is not None:
             trade.append(t)
         elif not given and (w in GIVEN or w in _SHORT_OF):
             given = w if w in GIVEN else _SHORT_OF[w]
@@ -143,11 +149,25 @@ def parse(name: str, places: frozenset[str] = frozenset()) -> Name | None:
             given = w
         elif len(w) > 1:
             core.append(w)
+    if not core and (len(trade) > 1 or trade and any(w in _LEGAL for w in plain)):
+        core, trade = trade, []  # named by its trades alone
     if not core and not trade:
         return None
     return Name(tuple(core), given, tuple(sorted(set(trade))))
 
 
+def _is_title(parts: list[str], plain: list[str]) -> bool:
+    """Whether words of job titles in a name make it one: not with a legal form, nor in front of a trade that no part's last word denies."""
+    if any(w in _LEGAL for w in plain):
+        return False
+    last = [[re.sub(r"['’]", "", w.rstrip(".")) for w in _WORD.findall(p)] for p in parts]
+    last = [[w for w in own if not _ROMAN.fullmatch(w)] for own in last]
+    last = [own for own in last if own]
+    if not last or any(own[-1] in _TITLE or own[-1] in PERSONS for own in last):
+        return True
+    return trade_word(last[0][-1], False) is None
+
+
 def same_given(a: str, b: str) -> bool:
     """Whether two given names can be one person's; a missing one or a fitting initial can."""
     return not a or not b or a == b or (1 in (len(a), len(b)) and a[0] == b[0]) or a in _either(b) or b in _either(a)
@@ -166,7 +186,10 @@ def allowed(length: int) -> int:
 
 
 def orders(core: tuple[str, ...]) -> list[str]:
-    return ["".join(p) for p in permutations(core)] if len(core) <= 3 else ["".join(core), "".join(core[1:] + core[:1]), "".join(core[-1:] + core[:-1])]
+    """The words written together: in every order up to three, beyond as they stand, turned by one, and sorted."""
+    if len(core) <= 3:
+        return ["".join(p) for p in permutations(core)]
+    return list(dict.fromkeys("".join(c) for c in (core, core[1:] + core[:1], core[-1:] + core[:-1], sorted(core))))
 
 
 def _close(x: str, y: str) -> bool:
@@ -174,7 +197,25 @@ def _close(x: str, y: str) -> bool:
     return edits(x, y, most) <= most
 
 
+def _same_words(a: tuple[str, ...], b: tuple[str, ...]) -> bool:
+    """Whether the words of both sides pair off, in any order, with no more errors than the whole may have."""
+    if len(a) != len(b):
+        return False
+    left = allowed(min(sum(map(len, a)), sum(map(len, b))))
+    rest = list(b)
+    for d, w, v in sorted((edits(w, v, left), i, v) for i, w in enumerate(a) for v in set(b)):
+        if d > left:
+            break
+        if a[w] is not None and v in rest:
+            rest.remove(v)
+            a = (*a[:w], None, *a[w + 1 :])
+            left -= d
+    return not rest
+
+
 def same_core(a: tuple[str, ...], b: tuple[str, ...]) -> bool:
     """Whether two sequences of own words are spellings of one: joined, split, reordered or mistyped words."""
     x, y = "".join(a), "".join(b)
-    return any(_close(x, o) for o in orders(b)) or any(_close(y, o) for o in orders(a)[1:])
+    if any(_close(x, o) for o in orders(b)) or any(_close(y, o) for o in orders(a)[1:]):
+        return True
+    return max(len(a), len(b)) > 3 and _same_words(a, b)

@@ -38,7 +38,7 @@ MAX_GRAMS = 200_000
 #: Trades of which the counts are kept (the most frequent), and towns.
 MAX_TRADES, MAX_PLACES = 20_000, 5_000
 #: Nodes of a component that are clustered over a matrix; larger ones are clustered over sums of vectors.
-MAX_MATRIX = 1_500
+MAX_MATRIX = 200
 
 
 def grams(core: str) -> list[str]:
@@ -180,7 +180,9 @@ def links(nodes: DataFrame) -> DataFrame:
         return a.join(b, [*keys, "salt"]).select("gram", *[f"a_{c}" for c in fields], *[f"b_{c}" for c in fields])
 
     full, strong = entries.where("not open"), entries.where("strong")
-    near = F.abs(F.length("a_core") - F.length("b_core")) <= 5
+    # ``allowed`` grants three errors at most; blanks don't count, as words may be written together
+    size = lambda c: F.length(F.replace(F.col(c), F.lit(" "), F.lit("")))
+    near = F.abs(size("a_core") - size("b_core")) <= allowed(10**6)
     pairs = reduce(
         DataFrame.unionByName,
         [

@@ -104,3 +104,18 @@ def test_parts():
     assert (p.core, p.given, p.trade) == (("dirjunwarvi",), "elizabeth", ("partners",))
     assert same_given("e", "elizabeth") and same_given("", "x") and not same_given("joseph", "james")
     assert edits("weplul", "wepllu", 2) == 1 and edits("abc", "xyz", 1) == 2
+
+
+def test_names_of_trades_and_titles_are_not_lost(spark):
+    data = ["Marine Institute", "Marine Institute Inc", "Executive Staffing", "Executive Staffing Ltd", "Lead Mining Corp", "Lead Minning Corp.", "Contract Logistics Group", "Remote Sensing Labs", "Remote Sensing Laboratories",
+            "Senior Research Associate", "Research Associate", "Lead Product Designer", "Junior Software Developer - Systems"]
+    df = spark.createDataFrame([(x,) for x in data], "name string")
+    got = {tuple(r) for r in N.same_organisation(df).collect()}
+    assert {("Marine Institute", "Marine Institute Inc"), ("Executive Staffing", "Executive Staffing Ltd"), ("Lead Mining Corp", "Lead Minning Corp."), ("Remote Sensing Laboratories", "Remote Sensing Labs")} == got
+    assert "Contract Logistics Group" in {r["name"] for r in N.clusters(df).collect()}
+
+
+def test_joined_and_reordered_words_link(spark):
+    data = ["Krala Dupe Vreshi Plimo Wobe Bulfa Zandi Systems", "Kraladupevreshiplimowobebulfazandi Systems", "Alder Birch Cedar Dogwood", "Birch Alder Cedar Dogwood", "Alder Birch Cedar Oakwood"]
+    got = {tuple(r) for r in N.same_organisation(spark.createDataFrame([(x,) for x in data], "name string")).collect()}
+    assert {("Krala Dupe Vreshi Plimo Wobe Bulfa Zandi Systems", "Kraladupevreshiplimowobebulfazandi Systems"), ("Alder Birch Cedar Dogwood", "Birch Alder Cedar Dogwood")} == got
