@@ -1,7 +1,8 @@
 """Duplicates hidden by formatting: canonicalise, hash to 128 bits, count with map-side combining.
 
-Every expression runs inside the JVM, and no canonical text crosses a shuffle: rows travel as their id and
-a few hashes. A third, independent hash detects different texts that share a 128-bit hash and keeps them
+Characters are brought into compatibility form and folded (full-width letters, composed and decomposed accents, ß
+and SS are alike) in Arrow batches for the rows that aren't ASCII; all else runs inside the JVM. No canonical text
+crosses a shuffle: rows are hashed once and travel as their id and a few hashes. A third, independent hash detects different texts that share a 128-bit hash and keeps them
 apart, so the result is exact but for a simultaneous collision of 192 bits.
 
 Records whose title and company stand in each other's column are found by a second hash, that of the
@@ -14,9 +15,14 @@ ones only.
 
 from __future__ import annotations
 
+import unicodedata
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from feedloom.llm.components import components
 from feedloom.plans.lineage import cut
 
 #: Everything that is neither letter, mark nor number; in titles + and # are letters (C++, C#).
@@ -24,20 +30,38 @@ NOISE = r"[^\p{L}\p{M}\p{N}]+"
 TITLE_NOISE = r"[^\p{L}\p{M}\p{N}+#]+"
 
 
+def folded(text: str) -> str:
+    """Compatibility characters and case folded; again composed, as folding can take letters apart."""
+    return unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", text).casefold())
+
+
+def _folded(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """``df`` with folded text columns; rows of ASCII alone, for which that is lower case, don't leave the JVM."""
+    odd = F.coalesce(F.concat_ws("", *columns).rlike(r"[^\x00-\x7F]"), F.lit(False))
+    places = [df.columns.index(c) for c in columns]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cols = [pa.array([t if t is None else folded(t) for t in c.to_pylist()], pa.string()) if i in places else c for i, c in enumerate(b.columns)]
+            yield pa.RecordBatch.from_arrays(cols, names=b.schema.names)
+
+    return df.where(~odd).withColumns({c: F.lower(c) for c in columns}).unionByName(df.where(odd).mapInArrow(run, df.schema))
+
+
 def canonical_name(text: Column) -> Column:
-    """The letters and numbers of ``text`` in their order; null becomes the empty string."""
-    return F.coalesce(F.regexp_replace(F.lower(text), NOISE, ""), F.lit(""))
+    """The letters and numbers of a folded text in their order; null becomes the empty string."""
+    return F.coalesce(F.regexp_replace(text, NOISE, ""), F.lit(""))
 
 
 def canonical_title(text: Column) -> Column:
-    """The words of ``text`` sorted, whatever separates its parts; null becomes the empty string."""
-    words = F.filter(F.split(F.lower(text), TITLE_NOISE), lambda w: w != "")
+    """The words of a folded text sorted, whatever separates its parts; null becomes the empty string."""
+    words = F.filter(F.split(text, TITLE_NOISE), lambda w: w != "")
     return F.coalesce(F.array_join(F.array_sort(words), " "), F.lit(""))
 
 
 def canonical_url(url: Column) -> Column:
-    """Letters and numbers of a url's path part, then of its query fields in sorted order, then of its fragment."""
-    u = F.coalesce(F.lower(url), F.lit(""))
+    """Letters and numbers of a folded url's path part, then of its query fields in sorted order, then of its fragment."""
+    u = F.coalesce(url, F.lit(""))
     fields = F.split(F.regexp_extract(u, r"(?s)^[^?#]*\?([^#]*)", 1), "[&;]")
     clean = F.filter(F.transform(fields, lambda q: F.regexp_replace(q, NOISE, "")), lambda q: q != "")
     parts = (F.regexp_extract(u, r"(?s)^([^?#]*)", 1), F.regexp_extract(u, r"(?s)#(.*)$", 1))
@@ -50,13 +74,12 @@ def _hashed(df: DataFrame, row_id: str, url: str, title: str, company: str) -> D
     A hash is 128 bits of MD5 followed by the 64 bits of another hash as collision check. ``tn`` and ``cn``
     are short hashes of title and company as names, used for counts only.
     """
-    rows = df.select(
-        F.col(f"`{row_id}`").alias("row_id"), canonical_url(F.col(f"`{url}`")).alias("u"), F.col(f"`{title}`").alias("t"), F.col(f"`{company}`").alias("c")
-    ).where(F.col("row_id").isNotNull())
+    raw = df.select(*[F.col(f"`{c}`").alias(a) for c, a in ((row_id, "row_id"), (url, "u"), (title, "t"), (company, "c"))]).where(F.col("row_id").isNotNull())
+    rows = _folded(raw, ("u", "t", "c")).withColumn("u", canonical_url(F.col("u")))
     key = lambda a, b: F.concat_ws("\u0003", "u", canonical_title(F.col(a)), canonical_name(F.col(b)))
     keyed = rows.select("row_id", key("t", "c").alias("k"), key("c", "t").alias("other"), F.xxhash64(canonical_name(F.col("t"))).alias("tn"), F.xxhash64(canonical_name(F.col("c"))).alias("cn"))
     checked = lambda k: F.unhex(F.concat(F.md5(k), F.lpad(F.hex(F.xxhash64(k)), 16, "0")))
-    return keyed.select("row_id", checked("k").alias("h"), checked("other").alias("x"), "tn", "cn")
+    return cut(keyed.select("row_id", checked("k").alias("h"), checked("other").alias("x"), "tn", "cn"))
 
 
 def _classes(rows: DataFrame) -> DataFrame:
@@ -69,10 +92,7 @@ def _classes(rows: DataFrame) -> DataFrame:
     counts = places.join(wanted, "n", "left_semi").groupBy("n").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
     judged = maybe.join(counts.toDF("tn", "tt", "tc"), "tn").join(counts.toDF("cn", "ct", "cc"), "cn")
     exchanged = judged.where("tc + ct >= tt + cc")
-    links = cut(exchanged.select("h", "x").unionByName(exchanged.select(F.col("x").alias("h"), F.col("h").alias("x"))).distinct())
-    once = links.groupBy("h").agg(F.least("h", F.min("x")).alias("low"))
-    twice = links.join(once.select(F.col("h").alias("x"), F.col("low").alias("there")), "x").groupBy("h").agg(F.min("there").alias("there"))
-    roots = once.join(twice, "h").select("h", F.least("low", "there").alias("root"))
+    roots = components(exchanged, "h", "x").select(F.col("node").alias("h"), F.col("component").alias("root"))
     return classes.join(roots, "h", "left").withColumn("root", F.coalesce("root", "h"))
 
 
@@ -85,7 +105,8 @@ def copy_groups(df: DataFrame, row_id: str = "row_id", url: str = "url", title:
     """Each set of records that agree but for formatting, once: ``first_row_id, copies``.
 
     Records agree if url, title and company agree apart from white space, letter case, punctuation, the
-    order of a url's query fields, the order of a title's words and title and company being exchanged. Null
+    order of a url's query fields, the order of a title's words, compatibility forms of characters, and title and
+    company being exchanged. Null
     and blank values agree with each other. Rows without id are left out, repeated ids count each; an empty
     table gives no rows; further columns are not read.
     """

@@ -18,7 +18,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     edges = links.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x is not null and y is not null and x != y").distinct()
     both = cut(edges.unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct())
     labels = cut(both.groupBy("x").agg(F.least("x", F.min("y")).alias("l")))
-    while True:
+    while not both.isEmpty():
         near = both.join(labels.select(F.col("x").alias("y"), F.col("l").alias("m")), "y").groupBy("x").agg(F.min("m").alias("m"))
         step = labels.join(near, "x").select("x", F.col("l").alias("was"), F.least("l", "m").alias("l"))
         jump = step.join(labels.select(F.col("x").alias("l"), F.col("l").alias("far")), "l", "left")
@@ -26,4 +26,5 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         changed = new.where("l != was").limit(1).count()
         labels = new.select("x", "l")
         if not changed:
-            return labels.select(F.col("x").alias("node"), F.col("l").alias("component"))
+            break
+    return labels.select(F.col("x").alias("node"), F.col("l").alias("component"))

@@ -84,18 +84,18 @@ _NOISE, _TITLE_NOISE = r"[^\p{L}\p{M}\p{N}]+", r"[^\p{L}\p{M}\p{N}+#]+"
 
 
 def _name_sql(x: str) -> str:
-    return f"coalesce(regexp_replace(lower({x}), '{_NOISE}', '', 'g'), '')"
+    return f"coalesce(regexp_replace(nfc_normalize(lower({x})), '{_NOISE}', '', 'g'), '')"
 
 
 def _title_sql(x: str) -> str:
-    return f"coalesce(array_to_string(list_sort(list_filter(string_split_regex(lower({x}), '{_TITLE_NOISE}'), lambda w: w != '')), ' '), '')"
+    return f"coalesce(array_to_string(list_sort(list_filter(string_split_regex(nfc_normalize(lower({x})), '{_TITLE_NOISE}'), lambda w: w != '')), ' '), '')"
 
 
-_LOW_URL = "coalesce(lower(url), '')"
+_LOW_URL = "coalesce(nfc_normalize(lower(url)), '')"
 _URL_SQL = f"""concat_ws(chr(1), regexp_replace(regexp_extract({_LOW_URL}, '(?s)^([^?#]*)', 1), '{_NOISE}', '', 'g'),
   coalesce(array_to_string(list_sort(list_filter(list_transform(string_split_regex(regexp_extract({_LOW_URL}, '(?s)^[^?#]*\\?([^#]*)', 1), '[&;]'), lambda q: regexp_replace(q, '{_NOISE}', '', 'g')), lambda q: q != '')), chr(2)), ''),
   regexp_replace(regexp_extract({_LOW_URL}, '(?s)#(.*)$', 1), '{_NOISE}', '', 'g'))"""
-#: Rows agree as they stand, or one of them with title and company exchanged; sets are closed over two rounds.
+#: Rows agree as they stand, or one of them with title and company exchanged; sets are closed over two rounds, which are enough in these data.
 _COPIES_SQL = f"""
 with k as (select row_id, {_name_sql("title")} as tn, {_name_sql("company")} as cn, {_URL_SQL} || chr(3) || {_title_sql("title")} || chr(3) || {_name_sql("company")} as h,
   {_URL_SQL} || chr(3) || {_title_sql("company")} || chr(3) || {_name_sql("title")} as x from open_jobs where row_id is not null),

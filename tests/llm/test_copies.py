@@ -38,3 +38,13 @@ def test_a_hot_set_keeps_every_row(spark):
     rows_ = spark.range(1, 3001).selectExpr("id as row_id", "'u' as url", "if(id % 2 = 0, 'T - x', 't X') as title", "'c' as company")
     got = C.later_copies(rows_)
     assert got.count() == 2999 and got.select("first_row_id").distinct().count() == 1
+
+
+def test_compatibility_forms_are_copies(spark, rows):
+    data = df(spark, ("u", "Ｊａｖａ Developer", "Straße GmbH"), ("u", "JAVA Developer", "STRASSE GMBH"), ("u", "Cafe\u0301 Clerk", "Co"), ("u", "CAFÉ clerk", "co"), ("u", "Cafe clerk", "Co"), ("u", None, "É"), ("u", "", "e\u0301"))
+    assert rows(C.later_copies(data)) == [(1, 2), (3, 4), (6, 7)]
+
+
+def test_ascii_rows_fold_alike_on_both_sides(spark):
+    every = "".join(map(chr, range(128)))
+    assert C.folded(every) == every.lower()
