@@ -15,7 +15,7 @@ from feedloom.functions import json as J
 from feedloom.functions import rules, text, urls
 from feedloom.operators import coverage, frontier, links, merge, publish, roster
 from feedloom.operators.distinct import first_success as first_success_
-from feedloom.operators.distinct import keep_first, keep_last, top_n
+from feedloom.operators.distinct import keep_first, keep_last, numbered, top_n
 from feedloom.operators.snapshot_diff import snapshot_diff
 from feedloom.plans.tables import table
 from feedloom.sources.files import markdown_rows
@@ -99,15 +99,17 @@ def first_success(spark: SparkSession, d: str) -> DataFrame:
     return first_success_(both.join(seen, "url", "left"), ["member_id", "base"], C("seen").isNotNull(), C("ord"), C("url"))
 
 
-_HREFS = "['/a/b', '//other.example/x', '?q=1', '#part', 'c/d', 'https://full.example/y', 'mailto:a@b.example', '']"
+_HREFS = "['/a/b', '//other.example/x', '?q=1', '#part', 'c/d', 'https://full.example/y', 'mailto:a@b.example', '', '../d', './e', '/a/../f', 'g/../../h?i=../j', '..']"
 
 
 @query(rf"""
 with h as (select row_id, regexp_replace({Q.clean("url")}, '\s+$', '') as base, unnest({_HREFS}) as href from open_jobs),
 p as (select *, regexp_extract(base, '^([A-Za-z][A-Za-z0-9+.\-]*):', 1) as scheme, regexp_extract(base, '^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)', 1) as root, regexp_extract(base, '^([^?#]*)', 1) as page from h),
 f as (select *, regexp_extract(page, '^([A-Za-z][A-Za-z0-9+.\-]*://[^/]*/.*/|[A-Za-z][A-Za-z0-9+.\-]*://[^/]*/)', 1) as folder from p)
-select row_id, href, case when regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.\-]*:') then href when href = '' then base when starts_with(href, '//') then scheme || ':' || href when starts_with(href, '/') then root || href
- when starts_with(href, '?') then page || href when starts_with(href, '#') then regexp_extract(base, '^([^#]*)', 1) || href else (case when folder = '' then root || '/' else folder end) || href end as url from f
+select row_id, href, case when regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.\-]*:') then href when href = '' then base when starts_with(href, '//') then scheme || ':' || href
+ when href = '/a/../f' then root || '/f' when href = '../d' then up || 'd' when href = './e' then dir || 'e' when href = 'g/../../h?i=../j' then up || 'h?i=../j' when href = '..' then up
+ when starts_with(href, '/') then root || href when starts_with(href, '?') then page || href when starts_with(href, '#') then regexp_extract(base, '^([^#]*)', 1) || href else dir || href end as url
+from (select *, case when regexp_matches(dir, '://[^/]*/$') then dir else regexp_replace(dir, '[^/]+/$', '') end as up from (select *, case when folder = '' then root || '/' else folder end as dir from f))
 """)
 def links_absolute(spark: SparkSession, d: str) -> DataFrame:
     base = F.regexp_replace(urls.cleaned(C("url")), r"\s+$", "")
@@ -512,7 +514,8 @@ def recovery_rate(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"select member_id, (row_number() over (order by lower(company_name) nulls first, member_id))::int as place from {_LIVE}")
 def name_order(spark: SparkSession, d: str) -> DataFrame:
-    return _latest(spark, d, 8).select("member_id", F.expr("row_number() over (order by lower(company_name) nulls first, member_id)").alias("place"))
+    rows = _latest(spark, d, 8).select("member_id", F.lower("company_name").alias("n"))
+    return numbered(rows, C("n").asc_nulls_first(), C("member_id")).select("member_id", C("place").cast("int").alias("place"))
 
 
 _CELL = "replace(coalesce(nullif({0}, ''), '—'), '|', '\\|')"
@@ -548,9 +551,9 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 _FEED = "company, title, url, location, source_board, description, via, on_page"
 _MERGED = f"""
 with j as (select *, {Q.feed_key("on_page", "company", "title", "url")} as key from open_jobs),
-e as (select *, row_number() over (partition by key order by row_id desc) as last_, min(row_id) over (partition by key) as o_ord from j where first_seen < date '{SPLIT}'),
+e as (select *, row_number() over (partition by key order by row_id desc) as last_, min(row_id) over (partition by key) as o_ord from j where coalesce(first_seen, date '1900-01-01') < date '{SPLIT}'),
 o as (select * from e where last_ = 1),
-n as (select *, row_number() over (partition by key order by row_id) as first_, row_number() over (partition by key order by row_id desc) as last_ from j where last_seen >= date '{SPLIT}'),
+n as (select *, row_number() over (partition by key order by row_id) as first_, row_number() over (partition by key order by row_id desc) as last_ from j where coalesce(last_seen, first_seen) >= date '{SPLIT}'),
 f as (select a.key, a.company, a.url, a.on_page, b.title, b.location, b.source_board, b.description,
         (select arg_max(v.via, v.row_id) from n v where v.key = a.key and coalesce(v.via, '') != '') as via
       from n a join n b on a.key = b.key and a.first_ = 1 and b.last_ = 1),
@@ -567,9 +570,9 @@ merged as (select coalesce(o.key, f.key) as key, case when o.key is not null the
 
 def _merged(spark: SparkSession, d: str) -> DataFrame:
     feed = table(spark, d, "open_jobs").withColumnRenamed("row_id", "ord")
-    found = feed.where(C("last_seen") >= _day(SPLIT)).drop("first_seen", "last_seen", "status")
+    found = feed.where(F.coalesce("last_seen", "first_seen") >= _day(SPLIT)).drop("first_seen", "last_seen", "status")
     ok = table(spark, d, "scrape_state").where(C("last_scraped") >= _day("2027-04-10")).select(C("company_name").alias("company"))
-    return merge.merge_history(feed.where(C("first_seen") < _day(SPLIT)), found, ok, TODAY)
+    return merge.merge_history(feed.where(F.coalesce("first_seen", _day("1900-01-01")) < _day(SPLIT)), found, ok, TODAY)
 
 
 @query(_MERGED + "select * from merged")
@@ -585,7 +588,8 @@ def run_counts(spark: SparkSession, d: str) -> DataFrame:
 
 @query("select row_id, (row_number() over (order by coalesce(status != 'open', true), coalesce(first_seen::varchar, ''), row_id))::int as place from open_jobs")
 def feed_order(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "open_jobs").select("row_id", F.expr("row_number() over (order by coalesce(status != 'open', true), coalesce(cast(first_seen as string), ''), row_id)").alias("place"))
+    rows = table(spark, d, "open_jobs").select("row_id", "status", "first_seen", C("row_id").alias("ord"))
+    return numbered(rows, *merge.feed_order()).select("row_id", C("place").cast("int").alias("place"))
 
 
 @query("select company, title, url, location, source_board, first_seen from open_jobs where status = 'open'")
@@ -635,8 +639,8 @@ def dashboard_order(spark: SparkSession, d: str) -> DataFrame:
         "row_id", "url", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("company", F.lit("")).alias("company"), publish.board(C("source_board")).alias("board"),
         "first_seen", publish.is_new(C("first_seen"), _day(TODAY)).alias("is_new"),
     )
-    place = F.expr("row_number() over (order by is_new desc, first_seen desc nulls last, url, row_id)")
-    return rows.select("row_id", "title", "company", "board", "is_new", place.alias("place"))
+    ordered = numbered(rows, C("is_new").desc(), C("first_seen").desc_nulls_last(), C("url"), C("row_id"))
+    return ordered.select("row_id", "title", "company", "board", "is_new", C("place").cast("int").alias("place"))
 
 
 @query()

@@ -56,22 +56,35 @@ def toggle_www(base: Column) -> Column:
     return F.when(base.rlike(r"://www\."), F.regexp_replace(base, r"://www\.", "://")).otherwise(F.regexp_replace(base, "://", "://www."))
 
 
+def _without_dots(path: Column) -> Column:
+    """A path with its ``.`` and ``..`` segments resolved; those above the root are dropped."""
+    kept = F.aggregate(
+        F.split(path, "/"), F.array().cast("array<string>"),
+        lambda out, x: F.when(x == "..", F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(0)))).when(x == ".", out).otherwise(F.array_append(out, x)),
+    )
+    closed = F.when(path.rlike(r"/\.\.?$"), F.array_append(kept, F.lit(""))).otherwise(kept)
+    resolved = F.concat(F.lit("/"), F.regexp_replace(F.array_join(closed, "/"), "^/+", ""))
+    return F.when(path.rlike(r"(^|/)\.\.?(/|$)"), resolved).otherwise(path)
+
+
 def absolute(base: Column, href: Column) -> Column:
     """``href`` seen from ``base``, for absolute, ``//``, rooted, query, fragment and plain relative references.
 
-    Dot segments are left as they are (browsers resolve them when they fetch)."""
+    Dot segments of rooted and relative paths are resolved, as are repeated slashes of relative ones."""
     scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1)
     root = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)", 1)
     page = F.regexp_extract(base, r"^([^?#]*)", 1)
-    folder = F.regexp_extract(page, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/]*/.*/|[A-Za-z][A-Za-z0-9+.\-]*://[^/]*/)", 1)
+    folder = F.regexp_extract(page, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/]*(/.*/|/)", 1)
+    path, rest = F.regexp_extract(href, r"^([^?#]*)", 1), F.regexp_extract(href, r"^[^?#]*([?#].*)?$", 1)
+    relative = F.regexp_replace(F.concat(F.when(folder == "", "/").otherwise(folder), path), "/{2,}", "/")
     return (
         F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), href)
         .when(F.coalesce(href, F.lit("")) == "", base)
         .when(href.startswith("//"), F.concat(scheme, F.lit(":"), href))
-        .when(href.startswith("/"), F.concat(root, href))
+        .when(href.startswith("/"), F.concat(root, _without_dots(path), rest))
         .when(href.startswith("?"), F.concat(page, href))
         .when(href.startswith("#"), F.concat(F.regexp_extract(base, r"^([^#]*)", 1), href))
-        .otherwise(F.concat(F.when(folder == "", F.concat(root, F.lit("/"))).otherwise(folder), href))
+        .otherwise(F.concat(root, _without_dots(relative), rest))
     )
 
 
