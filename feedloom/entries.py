@@ -168,7 +168,7 @@ def text_clip(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "open_jobs").select("row_id", text.clip(text.collapse(C("title")), 140).alias("title"), text.clip(text.collapse(C("description")), 1500).alias("description"))
 
 
-@query()
+@query("select row_id, coalesce(title, '') || coalesce(description, '') as text from open_jobs")
 def html_to_text(spark: SparkSession, d: str) -> DataFrame:
     page = F.concat(F.lit("<h1>"), text.escape(C("title")), F.lit("</h1><p>"), text.escape(C("description")), F.lit("</p>"))
     return table(spark, d, "open_jobs").select("row_id", text.html_to_text(page).alias("text"))
@@ -229,7 +229,10 @@ def route_from_text(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("row_id", F.size("r.jobs").alias("jobs"), C("r.jobs")[0]["title"].alias("first_title"), C("r.next_page").alias("next_page"))
 
 
-@query()
+@query(rf"""
+select row_id, nullif({Q.strip("title")}, '') as title,
+  nullif(replace(replace(replace(replace(regexp_replace(description, '(?s)<[^>]+>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&amp;', '&'), '') as description, concat_ws(', ', nullif(location, ''), 'NL') as location from open_jobs
+""")
 def jsonld_extract(spark: SparkSession, d: str) -> DataFrame:
     """Structured postings of every posting's page, built in the three shapes that occur in the wild."""
     posting = F.struct(F.lit("JobPosting").alias("@type"), "title", "description", F.struct(F.struct(C("location").alias("addressLocality"), F.lit("NL").alias("addressRegion")).alias("address")).alias("jobLocation"))
@@ -257,15 +260,24 @@ def links_extract(spark: SparkSession, d: str) -> DataFrame:
     return found.select("row_id", "ord", "href", "text", links.navigable(C("href")).alias("leads"))
 
 
-@query(f"""
-with l as (select 'https://' || source_board || '.example/list' as final_url, row_id as ord, url, {Q.canon(Q.strip("url"))} as key from open_jobs where source_board is not null and {Q.job_post("url")})
-select final_url, count(distinct key)::int as jobs from l group by 1
+_ROUTE_PAGE = "case when row_id % 5 = 0 then 'https://www.linkedin.com/company/' else 'https://board.example/' end || coalesce(source_board, 'own') || (row_id % 7)"
+_ROUTE_HREF = "case when row_id % 7 = 3 then 'https://jobs.lever.co/' || (row_id % 11) when row_id % 7 > 3 then '/about' else url end"
+
+
+@query(rf"""
+with l as (select {_ROUTE_PAGE} as final_url, row_id, {Q.strip(_ROUTE_HREF)} as u from open_jobs where url is not null),
+a as (select *, case when starts_with(u, '/') then regexp_extract(final_url, '^([a-z]+://[^/]+)', 1) || u else u end as url from l),
+p as (select final_url, count(distinct {Q.canon("url")}) as jobs from a where {Q.job_post("url")} group by 1),
+b as (select final_url, {Q.canon("url")} as k, min(row_id) as r, arg_min(url, row_id) as url from a where {Q.any_of("url", rules.BOARD_HOSTS)} and not {Q.job_post("url")} and {Q.host("url")} != {Q.host("final_url")} group by 1, 2),
+f as (select final_url, array_to_string(list(url order by r), ' ') as follow from (select *, row_number() over (partition by final_url order by r) as n from b) where n <= 3 group by 1),
+k as (select distinct final_url, {Q.label(Q.host("final_url"), rules.EXTERNAL_KINDS)} as kind from l)
+select k.final_url, coalesce(p.jobs, 0)::int as jobs, case when p.jobs is null then k.kind end as external, case when p.jobs is null and k.kind is null then f.follow end as follow
+from k left join p using (final_url) left join f using (final_url)
 """)
 def heuristic_route(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "open_jobs").where("source_board is not null")
-    page = F.concat(F.lit("https://"), C("source_board"), F.lit(".example/list"))
-    linked = rows.select(page.alias("final_url"), C("row_id").alias("ord"), text.strip(C("url")).alias("href"), F.coalesce("title", F.lit("")).alias("text"))
-    return links.route(linked).where("jobs is not null").select("final_url", F.size("jobs").alias("jobs"))
+    rows = table(spark, d, "open_jobs").where("url is not null")
+    linked = rows.select(F.expr(_ROUTE_PAGE).alias("final_url"), C("row_id").alias("ord"), text.strip(F.expr(_ROUTE_HREF)).alias("href"), F.coalesce("title", F.lit("")).alias("text"))
+    return links.route(linked).select("final_url", F.coalesce(F.size("jobs"), F.lit(0)).alias("jobs"), "external", F.array_join("follow", " ").alias("follow"))
 
 
 @query(f"""
@@ -308,11 +320,16 @@ def top1_candidate(spark: SparkSession, d: str) -> DataFrame:
     return best.select("company", "row_id", "score")
 
 
-@query(f"select row_id from {_SCORED} where not board and bounced")
+@query(f"""
+with p as (select row_id, case when row_id % 3 = 0 then {Q.root("url")} || '/' else url end as url, coalesce(on_page, false) or row_id % 2 = 0 as linked from open_jobs where url is not null)
+select row_id from p where not (regexp_replace({Q.path("url")}, '/+$', '') = '' and not linked and not {Q.any_of("url", rules.MAPPER_HOSTS)})
+""")
 def page_gate(spark: SparkSession, d: str) -> DataFrame:
-    pages = _pages(spark, d)
-    bounced = (F.regexp_replace(urls.path_of(C("url")), r"/+$", "") == "") & (C("why") == "path-probe")
-    return pages.where(bounced & ~rules.contains_any(C("url"), rules.MAPPER_HOSTS)).select("row_id")
+    """Pages that stay after those go that a path probe was sent to the root from; every third page here was sent there."""
+    url = F.when(C("row_id") % 3 == 0, F.concat(urls.root_url(C("url")), F.lit("/"))).otherwise(C("url"))
+    linked = F.coalesce("on_page", F.lit(False)) | (C("row_id") % 2 == 0)
+    pages = table(spark, d, "open_jobs").where("url is not null").select("row_id", url.alias("url"), F.when(linked, "homepage-careers-link").otherwise("path-probe").alias("why"))
+    return pages.where(~links.soft_404(C("url"), C("why"))).select("row_id")
 
 
 _PATHS = "[" + ", ".join(f"'{p}'" for p in rules.PROBE_PATHS) + "]"
@@ -411,10 +428,14 @@ def coverage_gap(spark: SparkSession, d: str) -> DataFrame:
     return _joined_urls(_external(spark, d).join(r, "key", "left_semi").join(f, "key", "left_anti"))
 
 
-@query(f"select '{TODAY}' as generated, count_if(bucket = 'not_in_roster')::int as not_in_roster, count_if(bucket = 'scrape_gap')::int as scrape_gap, count_if(bucket = 'overlap') as overlap from {_BUCKETS}")
+_LISTED = "coalesce((select array_to_string(list(company_name || ' ' || job_count || ' ' || coalesce(urls, '') order by lower(company_name), company_name, job_count), '; ') from b where bucket = '{}'), '')"
+
+
+@query(f"with b as {_BUCKETS} select '{TODAY}' as generated, {_LISTED.format('not_in_roster')} as not_in_roster, {_LISTED.format('scrape_gap')} as scrape_gap, (select count(*) from b where bucket = 'overlap') as overlap")
 def coverage_document(spark: SparkSession, d: str) -> DataFrame:
     doc = coverage.document(_bucketed(spark, d), TODAY)
-    return doc.select("generated", F.size("not_in_roster").alias("not_in_roster"), F.size("scrape_gap").alias("scrape_gap"), "overlap")
+    shown = lambda b: F.array_join(F.transform(b, lambda e: F.concat_ws(" ", e["company_name"], e["job_count"].cast("string"), F.array_join(e["urls"], " "))), "; ").alias(b)
+    return doc.select("generated", shown("not_in_roster"), shown("scrape_gap"), "overlap")
 
 
 @query(f"select bucket, '- ' || company_name || ' (' || job_count || '): ' || coalesce(urls, '') as line from {_BUCKETS} where bucket != 'overlap'")
@@ -480,9 +501,18 @@ def roster_counts(spark: SparkSession, d: str) -> DataFrame:
     return _reconciled(spark, d).groupBy("origin").agg(F.count("*").alias("n"))
 
 
-@query(_RECONCILED + "select member_id, company_name from gone")
+@query(f"""
+with l as (select distinct snapshot_id, member_id, company_name from companies_state where member_id is not null and snapshot_id is not null)
+select distinct p.snapshot_id + 1 as snapshot_id, p.member_id, p.company_name from l p where p.snapshot_id < (select max(snapshot_id) from l)
+  and not exists (select 1 from l n where n.snapshot_id = p.snapshot_id + 1 and n.member_id = p.member_id)
+  and not exists (select 1 from l n where n.snapshot_id = p.snapshot_id + 1 and lower(n.company_name) = lower(p.company_name))
+""")
 def departed_anti_join(spark: SparkSession, d: str) -> DataFrame:
-    return roster.departed(_latest(spark, d, 8), _latest(spark, d, 7)).select("member_id", "company_name")
+    """Of every two snapshots that follow each other, the members whose id and name are gone in the later one."""
+    every = table(spark, d, "companies_state").where("member_id is not null and snapshot_id is not null").select("snapshot_id", "member_id", "company_name").distinct()
+    last = every.agg(F.max("snapshot_id").alias("last"))
+    prior = every.join(F.broadcast(last), F.col("snapshot_id") < F.col("last")).select((C("snapshot_id") + 1).alias("snapshot_id"), "member_id", "company_name")
+    return roster.departed(every, prior, ["snapshot_id"]).select("snapshot_id", "member_id", "company_name")
 
 
 @query(f"""
@@ -643,7 +673,7 @@ def dashboard_order(spark: SparkSession, d: str) -> DataFrame:
     return ordered.select("row_id", "title", "company", "board", "is_new", C("place").cast("int").alias("place"))
 
 
-@query()
+@query("select company, job_url from known_jobs")
 def paged_source(spark: SparkSession, d: str) -> DataFrame:
     """The outside listings through the paged data source, page by page of the table's files."""
     path = f"{d}/known_jobs.parquet"
@@ -655,3 +685,6 @@ def paged_source(spark: SparkSession, d: str) -> DataFrame:
         return [tuple(r.values()) for r in part.to_pylist()], part.num_rows == limit
 
     return paged(spark, "outside_listings", "company string, job_url string", fetch)
+
+
+from feedloom import crawl_entries  # noqa: E402, F401 - registers the queries of the crawl

@@ -109,3 +109,8 @@ def escape(text: Column) -> Column:
     for c, e in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
         out = F.replace(out, F.lit(c), F.lit(e))
     return out
+
+
+def display_time(stamp: Column) -> Column:
+    """An ISO timestamp as it is shown: a blank for the T, UTC for the offset."""
+    return F.replace(F.regexp_replace(F.coalesce(stamp, F.lit("")), "T", " "), F.lit("+00:00"), F.lit(" UTC"))

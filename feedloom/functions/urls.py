@@ -58,13 +58,17 @@ def toggle_www(base: Column) -> Column:
 
 def _without_dots(path: Column) -> Column:
     """A path with its ``.`` and ``..`` segments resolved; those above the root are dropped."""
-    kept = F.aggregate(
-        F.split(path, "/"), F.array().cast("array<string>"),
-        lambda out, x: F.when(x == "..", F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(0)))).when(x == ".", out).otherwise(F.array_append(out, x)),
-    )
-    closed = F.when(path.rlike(r"/\.\.?$"), F.array_append(kept, F.lit(""))).otherwise(kept)
-    resolved = F.concat(F.lit("/"), F.regexp_replace(F.array_join(closed, "/"), "^/+", ""))
-    return F.when(path.rlike(r"(^|/)\.\.?(/|$)"), resolved).otherwise(path)
+    # a lambda's variable keeps the long expression of the path from being repeated in every branch
+    def resolve(p: Column) -> Column:
+        kept = F.aggregate(
+            F.split(p, "/"), F.array().cast("array<string>"),
+            lambda out, x: F.when(x == "..", F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(0)))).when(x == ".", out).otherwise(F.array_append(out, x)),
+        )
+        joined = F.concat(F.lit("/"), F.regexp_replace(F.array_join(kept, "/"), "^/+", ""))
+        closed = F.when(p.rlike(r"/\.\.?$") & ~joined.endswith("/"), F.concat(joined, F.lit("/"))).otherwise(joined)
+        return F.when(p.rlike(r"(^|/)\.\.?(/|$)"), closed).otherwise(p)
+
+    return F.transform(F.array(path), resolve)[0]
 
 
 def absolute(base: Column, href: Column) -> Column:
@@ -81,10 +85,9 @@ def absolute(base: Column, href: Column) -> Column:
         F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), href)
         .when(F.coalesce(href, F.lit("")) == "", base)
         .when(href.startswith("//"), F.concat(scheme, F.lit(":"), href))
-        .when(href.startswith("/"), F.concat(root, _without_dots(path), rest))
         .when(href.startswith("?"), F.concat(page, href))
         .when(href.startswith("#"), F.concat(F.regexp_extract(base, r"^([^#]*)", 1), href))
-        .otherwise(F.concat(root, _without_dots(relative), rest))
+        .otherwise(F.concat(root, _without_dots(F.when(href.startswith("/"), path).otherwise(relative)), rest))
     )
 
 

@@ -17,6 +17,35 @@ def anchors(pages: DataFrame, key: str, html: str) -> DataFrame:
     return rows.select(key, "ord", text.strip(F.col("a.h")).alias("href"), text.collapse(text.without_tags(F.col("a.t"))).alias("text"))
 
 
+#: Rows of a member directory and fields of a member's page (fixed values).
+DIRECTORY_ROW = r"""(?i)href="?//[^/"]+/memberdirectory/Details/([^"]+)"?[^>]*>([^<]+)</a>"""
+DETAIL_WEBSITE, DETAIL_LOCATION = r"""(?is)gz-details-website.*?href="([^"]+)\"""", r""">\s*([A-Z][A-Za-z.'\- ]+,\s*NL)\s*<"""
+
+
+def directory(pages: DataFrame, key: str, html: str) -> DataFrame:
+    """``key, ord, member_id, company_name, slug`` of a directory's pages: each id once a page, its first row.
+
+    The id is the digits that a slug ends with, or the slug; names are unescaped, rows with a blank name are dropped."""
+    zipped = F.arrays_zip(F.regexp_extract_all(F.col(html), F.lit(DIRECTORY_ROW), F.lit(1)).alias("s"), F.regexp_extract_all(F.col(html), F.lit(DIRECTORY_ROW), F.lit(2)).alias("n"))
+    rows = pages.select(F.col(key), F.posexplode(zipped).alias("ord", "a")).select(key, "ord", text.strip(F.col("a.s")).alias("slug"), text.unescape(text.strip(F.col("a.n"))).alias("company_name"))
+    digits = F.regexp_extract("slug", r"-(\d+)$", 1)
+    named = rows.where("company_name != ''").withColumn("member_id", F.when(digits != "", digits).otherwise(F.col("slug")))
+    first = named.groupBy(key, "member_id").agg(F.min_by(F.struct("ord", "company_name", "slug"), "ord").alias("r"))
+    return first.select(key, "r.ord", "member_id", "r.company_name", "r.slug")
+
+
+def detail_fields(status: Column, html: Column) -> Column:
+    """Struct of ``website`` and ``location`` of a member's page; both null for pages that failed or lack them."""
+    field = lambda p: F.nullif(text.strip(F.regexp_extract(html, p, 1)), F.lit(""))
+    read = F.coalesce(status, F.lit(0)) < 400
+    return F.struct(F.when(read, field(DETAIL_WEBSITE)).alias("website"), F.when(read, field(DETAIL_LOCATION)).alias("location"))
+
+
+def fetch_gate(status: Column, content_type: Column) -> Column:
+    """Whether a response is a page: no error, and HTML by its content type; one without a content type counts as HTML."""
+    return F.coalesce(status < 400, F.lit(False)) & F.contains(F.coalesce(content_type, F.lit("text/html")), F.lit("html"))
+
+
 def navigable(href: Column) -> Column:
     """Whether a reference leads to a page at all."""
     return (F.coalesce(href, F.lit("")) != "") & ~href.rlike(r"^(#|mailto:|tel:|javascript:)")
@@ -61,11 +90,16 @@ def route(links: DataFrame, page: str = "final_url", most: int = 3) -> DataFrame
     )
 
 
+def soft_404(url: Column, why: Column) -> Column:
+    """Whether a probed path was sent back to the site's root; boards' roots are pages of their own."""
+    bounced = (F.regexp_replace(urls.path_of(url), r"/+$", "") == "") & (why == "path-probe")
+    return bounced & ~rules.contains_any(url, rules.MAPPER_HOSTS)
+
+
 def scored(pages: DataFrame) -> DataFrame:
     """``pages`` (company, ord, url, why, text) with their score; boards count 10, weak and bounced pages go."""
     is_board = rules.contains_any(F.col("url"), rules.MAPPER_HOSTS)
-    bounced = (F.regexp_replace(urls.path_of(F.col("url")), r"/+$", "") == "") & (F.col("why") == "path-probe")
-    score = F.when(is_board, 10).when(bounced, -1).otherwise(text.careers_score(F.col("url"), F.col("low_text")))
+    score = F.when(is_board, 10).when(soft_404(F.col("url"), F.col("why")), -1).otherwise(text.careers_score(F.col("url"), F.col("low_text")))
     # the generators keep the text from being lowered for every word, and the score from being computed again in the filter
     lowered = pages.select("*", F.explode(F.array(F.lower("text"))).alias("low_text"))
     return lowered.select(*pages.columns, F.explode(F.array(score)).alias("score")).where("score >= 4")

@@ -44,3 +44,20 @@ def search(feed: DataFrame, q: str = "", company: str = "", source: str = "", ne
         hay = F.lower(F.concat_ws(" ", *[F.coalesce(F.col(c), F.lit("")) for c in ("title", "company", "location", "description")]))
         out = out.where(F.contains(hay, F.lit(q.strip().lower())))
     return out
+
+
+def card(row_url: Column, title: Column, company: Column, location: Column, source_board: Column, new: Column, description: Column) -> Column:
+    """A result as it is shown: link and title, company, board, and location, mark of new ones and description where there are any."""
+    filled = lambda c: F.nullif(c, F.lit(""))
+    return F.struct(
+        F.coalesce(row_url, F.lit("")).alias("link"), F.coalesce(title, F.lit("")).alias("title"), F.coalesce(company, F.lit("")).alias("company"), filled(location).alias("location"),
+        board(source_board).alias("badge"), F.when(new, "new").alias("mark"), filled(description).alias("description"),
+    )
+
+
+def summary_document(summary: DataFrame, buckets: DataFrame | None, generated: str) -> DataFrame:
+    """``value``: the summary as one JSON document, the coverage document in it where there is one."""
+    whole = summary.select(F.lit(generated).alias("generated"), "*")
+    if buckets is not None:
+        whole = whole.join(F.broadcast(buckets.limit(1).select(F.struct(*buckets.columns).alias("coverage"))), how="left")
+    return whole.select(F.to_json(F.struct(*whole.columns)).alias("value"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,11 +45,11 @@ def reconcile(live: DataFrame, prior: DataFrame) -> DataFrame:
     return members.unionByName(gone)
 
 
-def departed(live: DataFrame, prior: DataFrame) -> DataFrame:
-    """Prior rows with neither their id nor their lower-cased name among the live rows."""
-    ids = live.select("member_id").where("member_id is not null").distinct()
-    names = live.select(_name("company_name").alias("name")).where("name is not null").distinct()
-    return prior.withColumn("name", _name("company_name")).join(ids, "member_id", "left_anti").join(names, "name", "left_anti").drop("name")
+def departed(live: DataFrame, prior: DataFrame, within: Sequence[str] = ()) -> DataFrame:
+    """Prior rows with neither their id nor their lower-cased name among the live rows (of the same ``within`` columns)."""
+    ids = live.select(*within, "member_id").where("member_id is not null").distinct()
+    names = live.select(*within, _name("company_name").alias("name")).where("name is not null").distinct()
+    return prior.withColumn("name", _name("company_name")).join(ids, [*within, "member_id"], "left_anti").join(names, [*within, "name"], "left_anti").drop("name")
 
 
 def needs_mapping(status: Column, career_page_url: Column, last_checked: Column, now: Column, only_failed: bool = False, stale_days: int = 30) -> Column:
@@ -80,3 +82,35 @@ def least_recent(companies: DataFrame, attempts: DataFrame, n: int) -> DataFrame
     """The ``n`` companies not tried for longest, never tried ones first, ties by ``ord``."""
     last = attempts.groupBy("company_name").agg(F.max("last_scraped").alias("last_scraped"))
     return companies.join(last, "company_name", "left").orderBy(F.col("last_scraped").asc_nulls_first(), "ord").limit(n)
+
+
+def router_results(state: DataFrame, results: DataFrame, now: Column) -> DataFrame:
+    """The state after a router looked for pages: ``results`` has company_name, url, failed and ord; a name's last row counts.
+
+    A call that failed leaves the row as it is; a url makes the member active (method llm); none makes it failed, and an
+    older url stays. Both are checked ``now``."""
+    last = results.groupBy("company_name").agg(F.max_by(F.struct("url", "failed"), "ord").alias("r"))
+    joined = state.join(last, "company_name", "left")
+    answered = F.col("r").isNotNull() & ~F.coalesce(F.col("r.failed"), F.lit(False))
+    hit = answered & (F.coalesce(F.col("r.url"), F.lit("")) != "")
+    set_ = lambda c, to: F.when(hit, to).otherwise(F.col(c))
+    return joined.withColumns({
+        "career_page_url": set_("career_page_url", F.col("r.url")), "map_method": set_("map_method", F.lit("llm")),
+        "status": F.when(hit, "active").when(answered, "failed").otherwise(F.col("status")), "last_checked": F.when(answered, now).otherwise(F.col("last_checked")),
+    }).drop("r")
+
+
+def stamped(attempts: DataFrame, companies: DataFrame, today: Column) -> DataFrame:
+    """``company_name, last_scraped`` after a run over ``companies`` was begun: all of them are stamped, also those that fail later."""
+    now = companies.select("company_name").where("company_name is not null").distinct().withColumn("today", today)
+    last = attempts.groupBy("company_name").agg(F.max("last_scraped").alias("last_scraped"))
+    return last.join(now, "company_name", "full").select("company_name", F.coalesce("today", "last_scraped").alias("last_scraped"))
+
+
+def selection(companies: DataFrame, attempts: DataFrame, company: str = "", batch: int = 0, limit: int = 0) -> DataFrame:
+    """The companies of a run: the one named (in any case), else the ``batch`` least recent, else the first ``limit`` by ``ord``, else all."""
+    if company:
+        return companies.where(_name("company_name") == F.lower(F.lit(company)))
+    if batch:
+        return least_recent(companies, attempts, batch).drop("last_scraped")
+    return companies.orderBy("ord").limit(limit) if limit else companies

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,3 +68,29 @@ def write_markdown(df: DataFrame, path: str) -> None:
     """Members that aren't inactive as Markdown lines in name order. One file, as such a document is read whole."""
     rows = df.where(F.coalesce(F.col("status"), F.lit("")) != "inactive").orderBy(F.lower("company_name"))
     rows.select(markdown_rows(*[F.col(c) for c in ("company_name", "website_url", "location", "career_page_url")]).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def write_open(feed: DataFrame, path: str) -> None:
+    """The open postings alone as JSON lines."""
+    feed.where("status = 'open'").write.mode("overwrite").json(path)
+
+
+def write_document(document: DataFrame, path: str) -> None:
+    """A document of one row as one JSON file: its ``value``, or its columns."""
+    rows = document if document.columns == ["value"] else document.select(F.to_json(F.struct(*document.columns)).alias("value"))
+    rows.coalesce(1).write.mode("overwrite").text(path)
+
+
+def in_steps(df: DataFrame, key: str, steps: int, apply: Callable[[DataFrame], DataFrame], folder: str, dry_run: bool = False) -> list[str]:
+    """``apply`` on a share of the rows after the other, each written as a version below ``folder`` before the next begins.
+
+    A run that dies keeps what it wrote. ``dry_run`` computes every share and writes none. The shares are hash ranges of ``key``."""
+    written = []
+    for n in range(steps):
+        part = apply(df.where(F.pmod(F.xxhash64(key), F.lit(steps)) == n))
+        if dry_run:
+            part.write.format("noop").mode("overwrite").save()
+        else:
+            written.append(f"{folder}/step={n}")
+            part.write.mode("overwrite").parquet(written[-1])
+    return written

@@ -63,9 +63,9 @@ def test_canonical_urls_agree_with_the_standard_library_and_are_stable(spark, ta
 
 
 def test_absolute_references(spark):
-    base = "https://h.example/a/b?x=1"
-    hrefs = ["c", "/c", "//o.example/z", "?y=2", "#f", "https://q.example", "mailto:a@b.example", ""]
-    df = spark.createDataFrame([(base, h) for h in hrefs], "b string, h string").withColumn("u", urls.absolute(F.col("b"), F.col("h")))
+    bases = ["https://h.example/a/b?x=1", "https://h.example", "https://h.example/", "https://h.example/a/b/c/", "https://h.example/a/../b/c#f"]
+    hrefs = ["c", "/c", "//o.example/z", "?y=2", "#f", "https://q.example", "mailto:a@b.example", "", "../d", "./e", "/a/../f", "..", ".", "../..", "../../../g", "g/../h?i=../j", "/../k", "a/./b/", "a/b/..", "/a/b/.", "..x/y", "a//b", "../d#a/../b"]
+    df = spark.createDataFrame([(base, h) for base in bases for h in hrefs], "b string, h string").withColumn("u", urls.absolute(F.col("b"), F.col("h")))
     for r in df.collect():
         assert r["u"] == urljoin(r["b"], r["h"]), r
 
