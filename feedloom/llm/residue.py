@@ -25,6 +25,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from feedloom.llm.codepoints import slice_hashes, text_hash
+
 #: Logarithms of the numbers of buckets of passage and of span features.
 BITS, SPAN_BITS = 18, 16
 #: Rounds of expectation-maximisation, and the least posterior with which an unlabelled unit counts as positive.
@@ -71,7 +73,7 @@ SPAN_SEEDS = ("to be completed", "to be confirmed", "to be filled in", "insert t
 _SPAN = re.compile("|".join([*SURE.values(), *UNSURE.values()]))
 _HINT = re.compile(r"[{\[<@]|\*\||__|%[A-Za-z]|\$[A-Za-z]|&lt;|to be filled in")
 _INNER = re.compile(r"[a-z]+|[^\W\d_]+")
-_MIX, _PAIR, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), 0x200000366 | 1
+_MIX, _PAIR = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _NUMBER = np.uint64(7)
 
 # classes of UTF-8 bytes: 0 other, 1 letter (and any byte of a longer character), 2 digit
@@ -88,20 +90,6 @@ def spans(text: str) -> list[tuple[str, str]]:
     return [(m.lastgroup or "", (m[m.lastgroup] or "") if m.lastgroup else "") for m in _SPAN.finditer(text)]
 
 
-def _powers(n: int, cache: dict[str, np.ndarray] = {}) -> tuple[np.ndarray, np.ndarray]:  # noqa: B006
-    """The powers of the hash's base and of its inverse modulo 2**64."""
-    if len(cache.get("up", ())) < n:
-        size = 1 << max(16, n.bit_length())
-        for name, base in (("up", _STEP), ("down", pow(_STEP, -1, 1 << 64))):
-            out = np.ones(size, np.uint64)
-            k = 1
-            while k < size:
-                out[k : 2 * k] = out[:k] * np.uint64(pow(base, k, 1 << 64))
-                k *= 2
-            cache[name] = out
-    return cache["up"], cache["down"]
-
-
 def _bucket(h: np.ndarray, bits: int) -> np.ndarray:
     h = h * _MIX
     h = (h ^ (h >> np.uint64(32))) * _MIX
@@ -128,10 +116,7 @@ class Units:
         change[1:-1] = kind[1:] != kind[:-1]
         begin = np.flatnonzero(change[:-1] & (kind > 0))
         end = np.flatnonzero(change[1:] & (kind > 0)) + 1
-        up, down = _powers(n + 1)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((data + np.uint64(1)) * up[:n], out=sums[1:])
-        word = (sums[end] - sums[begin]) * down[begin]
+        word = slice_hashes(data, begin, end)
         # numbers are alike but for the codes of errors
         code = (end - begin == 3) & np.isin(data[begin], (52, 53))
         word[(kind[begin] == 2) & ~code] = _NUMBER
@@ -163,10 +148,7 @@ def _text_hash(x: str, cache: dict[str, int] = {}) -> int:  # noqa: B006
     if (h := cache.get(x)) is None:
         if len(cache) > 100_000:
             cache.clear()
-        value = 0
-        for b in x.encode("utf-8", "replace"):
-            value = (value * _STEP + b + 1) % (1 << 64)
-        h = cache[x] = int(_bucket(np.array([value], np.uint64), SPAN_BITS)[0])
+        h = cache[x] = int(_bucket(np.array([text_hash(x.encode("utf-8", "replace"))], np.uint64), SPAN_BITS)[0])
     return h
 
 
