@@ -4,8 +4,11 @@ A name is parsed into its own words, a given name and its line of trade (``namep
 parts are one node. A node's vector holds the three-letter sequences of its own words, weighted by inverse
 document frequency. Nodes of one trade meet in a sparse join over an inverted index: only the heaviest
 sequences of a vector are indexed, as many as needed so that no pair at or above the threshold is missed
-(prefix filtering). Nodes whose trade is left out or incomplete meet those of every trade. Hot index keys
-are salted. A pair is linked if its cosine reaches the threshold and an exact comparison of the parts finds
+(prefix filtering). Nodes whose trade is left out or incomplete meet those of every trade. The alphabet bounds
+the sequences, so lists grow with the table and their pairs with its square; nodes of a long list meet in a
+second index instead, by their letters (``signatures``): spellings of one name have the same letters in some
+order but for the errors allowed, so no link is missed and few other pairs meet. A pair is linked if its
+cosine reaches the threshold and an exact comparison of the parts finds
 spellings of one. Connected links are then clustered by average linkage, which keeps chains of small
 differences from joining different organisations.
 
@@ -15,14 +18,17 @@ The gram statistics, one count for each three-letter sequence, are bounded by th
 from __future__ import annotations
 
 import math
-from collections import defaultdict
-from collections.abc import Iterator, Sequence
-from functools import reduce
+from collections import Counter, defaultdict
+from collections.abc import Iterator
+from itertools import combinations_with_replacement
 
+import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from feedloom.llm.codepoints import codes, text_hash
 from feedloom.llm.components import components
 from feedloom.llm.nameparts import allowed, edits, fold, parse, same_core, same_given
 from feedloom.plans.lineage import cut
@@ -31,8 +37,12 @@ from feedloom.plans.lineage import cut
 SAME_TRADE, OPEN_TRADE = 0.3, 0.6
 #: Least mean cosine at which two clusters join.
 LINKAGE = 0.3
-#: Entries of an index key above which it is salted.
-HOT = 1_000
+#: Entries of a list above which its nodes meet by their letters.
+HOT = 16
+#: Letters of a word that may stand for a name with words left out.
+LONG_WORD = 8
+#: Texts whose signatures are made at once, which bounds the memory of the arrays.
+SLAB = 2_000
 #: Sequences whose counts are kept; an alphabet of 50 letters has 125,000.
 MAX_GRAMS = 200_000
 #: Trades of which the counts are kept (the most frequent), and towns.
@@ -143,75 +153,185 @@ def _fits(core_a: str, given_a: str, trade_a: str, open_a: bool, core_b: str, gi
     return open_a and len(a) < len(b) and max(map(len, a)) >= 8 and all(any(edits(w, v, allowed(len(w))) <= allowed(len(w)) for v in b) for w in a)
 
 
-def links(nodes: DataFrame) -> DataFrame:
-    """``a, b, cosine``, a < b, of the linked nodes among ``node, core, given, trade``."""
-    spark = nodes.sparkSession
-    vectors = spark.sparkContext.broadcast(_vectors(nodes))
-    whole = spark.sparkContext.broadcast(complete_trades(nodes))
+#: Summands of the letters' classes, and of the kinds of signatures: of cores in one trade, of cores, of words.
+_LETTER = np.random.default_rng(11).integers(1, 1 << 63, 32, dtype=np.uint64) | np.uint64(1)
+_IN_TRADE, _CORE, _WORD = 0, 1, 2
+_KIND = np.random.default_rng(12).integers(1, 1 << 63, 3, dtype=np.uint64)
+
+
+def signatures(texts: list[str], most: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text number, key and letters left out (a bit for each class) of each text without up to ``most`` of its letters, 3 at most.
+
+    The key is a sum over the letters, so their order doesn't matter; letters count by 32 classes, which bounds the
+    keys of a text in any script. An error adds a letter, takes one away, or both, so two texts within ``most`` errors
+    of each other, blanks and the order of words aside, have a key in common; one with no class left out by both is the
+    key of all letters they share, so it is the only one.
+    """
+    n = len(texts)
+    cp = codes("".join(texts))
+    owner = np.repeat(np.arange(n), np.fromiter(map(len, texts), np.int64, n))
+    owner, cp = owner[cp != 32], cp[cp != 32]
+    count = np.bincount(owner * 32 + (cp & 31), minlength=32 * n).reshape(n, 32)
+    total = (count.astype(np.uint64) * _LETTER).sum(1, dtype=np.uint64)
+    at, key, gone = [np.arange(n)], [total], [np.zeros(n, np.int64)]
+    errors = np.array(most, np.int64)
+    for size in range(1, 4):
+        some = np.flatnonzero(errors >= size)
+        own = np.ascontiguousarray(count[some].T)
+        for letters in combinations_with_replacement(np.flatnonzero(own.any(1)).tolist(), size) if len(some) else ():
+            need = Counter(letters)
+            fit = some[np.flatnonzero(np.logical_and.reduce([own[c] >= m for c, m in need.items()]))]
+            if len(fit):
+                at.append(fit)
+                key.append(total[fit] - _LETTER[list(letters)].sum(dtype=np.uint64))
+                gone.append(np.full(len(fit), sum(1 << c for c in need), np.int64))
+    return np.concatenate(at), np.concatenate(key), np.concatenate(gone)
+
+
+def _by_letters(crowded: DataFrame, known: Broadcast) -> DataFrame:
+    """Pairs of ``node, in_trade, in_gram`` that can be spellings of one by their letters.
+
+    Nodes of one full trade meet by their cores. A node without one asks every node by its core, and those of more
+    words by its longest word, as ``_fits`` wants that word on the other side. Keys are sorted, and those that are
+    equal are paired; a task holds the nodes of one key.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in (whole.slice(i, SLAB) for i in range(0, whole.num_rows, SLAB)):
+                texts: list[str] = []
+                most, at, kind, asking, answering, trades, opened = [], [], [], [], [], [], []
+
+                def add(i: int, text: str, errors: int, of: int, asks: bool, answers: bool, trade: str = "") -> None:
+                    for column, value in zip((texts, most, at, kind, asking, answering, trades, opened), (text, errors, i, of, asks, answers, trade, is_open)):
+                        column.append(value)
+
+                for i, (node, in_trade, in_gram) in enumerate(zip(*[batch.column(k).to_pylist() for k in range(3)])):
+                    core, _, trade = node.split("|")
+                    is_open, size, words = trade not in known.value, len(core.replace(" ", "")), core.split()
+                    if in_trade:
+                        add(i, core, allowed(size), _IN_TRADE, True, True, trade)
+                    if in_gram:
+                        add(i, core, allowed(size), _CORE, is_open, True)
+                        longest = max(words, key=len)
+                        if is_open and len(longest) >= LONG_WORD:
+                            add(i, longest, allowed(len(longest)), _WORD, True, False)
+                        # the other's word decides on the errors, and may be longer by as many
+                        for w in set(words) if len(words) > 1 else ():
+                            if len(w) + allowed(len(w) + 3) >= LONG_WORD:
+                                add(i, w, allowed(len(w) + 3), _WORD, False, True)
+                if not texts:
+                    continue
+                text, key, gone = signatures(texts, most)
+                shift = _KIND[kind] + np.fromiter((_hash(t) for t in trades), np.uint64, len(trades))
+                take = pa.array(text)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array((key + shift[text]).view(np.int64)), pa.array(gone), batch.column(0).take(pa.array(np.array(at)[text])), *[pa.array(x, pa.bool_()).take(take) for x in (opened, asking, answering)]],
+                    names=["key", "gone", "node", "open", "asks", "answers"],
+                )
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch] if left is None else [left, batch]).combine_chunks().to_batches()[0]
+            # rows of the last key wait for the next batch
+            key = rows.column(0).to_numpy(zero_copy_only=False)
+            done = int(np.searchsorted(key, key[-1]))
+            left = rows.slice(done)
+            yield from pairs(rows.slice(0, done))
+        if left is not None:
+            yield from pairs(left)
+
+    def pairs(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        key, gone, asks, answers = (rows.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 4, 5))
+        for far in range(1, len(key)):
+            i = np.flatnonzero(key[:-far] == key[far:])
+            if not len(i):
+                break
+            i = i[gone[i] & gone[i + far] == 0]
+            there, back = asks[i] & answers[i + far], asks[i + far] & answers[i]
+            a, b = pa.array(np.where(there, i, i + far)[there | back]), pa.array(np.where(there, i + far, i)[there | back])
+            if len(a):
+                node, is_open = rows.column(2), rows.column(3)
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.string()), node.take(a), is_open.take(a), node.take(b), is_open.take(b)], names=["gram", "a_node", "a_open", "b_node", "b_open"])
+
+    keys = crowded.mapInArrow(run, "key bigint, gone bigint, node string, open boolean, asks boolean, answers boolean")
+    met = keys.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "gram string, a_node string, a_open boolean, b_node string, b_open boolean")
+    return met.where("a_node != b_node")
+
+
+def _hash(text: str, cache: dict[str, int] = {}) -> int:  # noqa: B006
+    """A 64-bit hash that is the same in every process."""
+    if (h := cache.get(text)) is None:
+        if len(cache) > MAX_TRADES:
+            cache.clear()
+        h = cache[text] = text_hash(text.encode())
+    return h
+
+
+def candidates(nodes: DataFrame, vectors: Broadcast, whole: Broadcast) -> DataFrame:
+    """``gram, a_node, a_open, b_node, b_open`` of the pairs to compare, a superset of the links.
+
+    Short lists of the index are paired; ``gram`` is the list's. Nodes of longer ones meet by letters; ``gram`` is null.
+    """
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, known = vectors.value, whole.value
         for batch in batches:
-            at, opened, key, strong = [], [], [], []
-            cores, trades = batch.column(1).to_pylist(), batch.column(3).to_pylist()
-            for i, (core, trade) in enumerate(zip(cores, trades)):
+            at, opened, of, key = [], [], [], []
+            for i, node in enumerate(batch.column(0).to_pylist()):
+                core, _, trade = node.split("|")
                 is_open = trade not in known
-                sure = len(v.prefix(core, OPEN_TRADE))
-                for n, g in enumerate(v.prefix(core, SAME_TRADE)):
+                lists = [("", g) for g in v.prefix(core, OPEN_TRADE)]
+                if not is_open:
+                    lists += [(trade, g) for g in v.prefix(core, SAME_TRADE)]
+                for t, g in lists:
                     at.append(i)
                     opened.append(is_open)
+                    of.append(t)
                     key.append(g)
-                    strong.append(n < sure)
-            yield pa.RecordBatch.from_arrays(
-                [*[batch.column(k).take(pa.array(at, pa.int64())) for k in range(4)], pa.array(opened, pa.bool_()), pa.array(key, pa.string()), pa.array(strong, pa.bool_())],
-                names=["node", "core", "given", "trade", "open", "gram", "strong"],
-            )
-
-    entries = cut(nodes.select("node", "core", "given", "trade").mapInArrow(index, "node string, core string, given string, trade string, open boolean, gram string, strong boolean"))
-
-    def meet(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-        """Pairs of entries with equal keys; a key with many right entries is spread over salts."""
-        size = right.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > HOT).select(*keys, F.ceil(F.col("n") / HOT).cast("int").alias("salts"))
-        salted = right.join(size, list(keys), "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("node"), F.col("salts")), F.lit(0)).cast("int"))
-        spread = left.join(size, list(keys), "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("salts") - 1, F.lit(0)))))
-        fields = ("node", "core", "given", "trade", "open")
-        a = spread.select(*keys, "salt", *[F.col(c).alias(f"a_{c}") for c in fields])
-        b = salted.select(*keys, "salt", *[F.col(c).alias(f"b_{c}") for c in fields])
-        return a.join(b, [*keys, "salt"]).select("gram", *[f"a_{c}" for c in fields], *[f"b_{c}" for c in fields])
-
-    full, strong = entries.where("not open"), entries.where("strong")
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(opened, pa.bool_()), pa.array(of, pa.string()), pa.array(key, pa.string())], names=["node", "open", "trade", "gram"])
+
+    # a list without a trade is for pairs with a node that has no full one
+    entries = cut(nodes.select("node").mapInArrow(index, "node string, open boolean, trade string, gram string"))
+    sizes = entries.groupBy("trade", "gram").agg(F.count("*").alias("n"), F.max("open").alias("any_open")).where("n > 1 and (trade != '' or any_open)").select("trade", "gram", (F.col("n") > HOT).alias("hot"))
+    listed = cut(entries.join(sizes, ["trade", "gram"]))
+    short = listed.where("not hot")
+    a, b = (short.select("trade", "gram", F.col("node").alias(f"{x}_node"), F.col("open").alias(f"{x}_open")) for x in "ab")
     # ``allowed`` grants three errors at most; blanks don't count, as words may be written together
-    size = lambda c: F.length(F.replace(F.col(c), F.lit(" "), F.lit("")))
-    near = F.abs(size("a_core") - size("b_core")) <= allowed(10**6)
-    pairs = reduce(
-        DataFrame.unionByName,
-        [
-            meet(full, full, ("trade", "gram")).where((F.col("a_node") < F.col("b_node")) & near),
-            meet(strong.where("open"), strong.where("not open"), ("gram",)),
-            meet(strong.where("open"), strong.where("open"), ("gram",)).where("a_node < b_node"),
-        ],
-    )
+    size = lambda c: F.length(F.replace(F.substring_index(c, "|", 1), F.lit(" "), F.lit("")))
+    near = F.abs(size("a_node") - size("b_node")) <= allowed(10**6)
+    once = F.when(F.col("a_open") == F.col("b_open"), F.col("a_node") < F.col("b_node")).otherwise(F.col("a_open"))
+    pairs = a.join(b, ["trade", "gram"]).where(once & F.when(F.col("trade") != "", near).otherwise(F.col("a_open"))).select("gram", "a_node", "a_open", "b_node", "b_open")
+    crowded = listed.where("hot").groupBy("node").agg(F.max(F.col("trade") != "").alias("in_trade"), F.max(F.col("trade") == "").alias("in_gram"))
+    return pairs.unionByName(_by_letters(crowded, whole))
+
+
+def links(nodes: DataFrame) -> DataFrame:
+    """``a, b, cosine``, a < b, of the linked nodes among ``node, core, given, trade``."""
+    spark = nodes.sparkSession
+    vectors = spark.sparkContext.broadcast(_vectors(nodes))
+    whole = spark.sparkContext.broadcast(complete_trades(nodes))
+    pairs = candidates(nodes, vectors, whole)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vectors.value
         for batch in batches:
-            cols = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
-            at, cosine = [], []
-            for i, (gram, _, core_a, given_a, trade_a, open_a, _, core_b, given_b, trade_b, open_b) in enumerate(zip(*cols)):
+            out = []
+            for gram, node_a, open_a, node_b, open_b in zip(*[batch.column(i).to_pylist() for i in range(5)]):
+                if open_a == open_b and node_b < node_a:
+                    node_a, node_b = node_b, node_a
+                (core_a, given_a, trade_a), (core_b, given_b, trade_b) = node_a.split("|"), node_b.split("|")
                 least = OPEN_TRADE if open_a or open_b else SAME_TRADE
-                x, y = v.of(core_a), v.of(core_b)
-                # the pair is judged where it meets first
-                if next((g for g in x if g in y), None) != gram:
+                # a pair of lists is judged in the first that it meets in
+                if gram is not None and next((g for g in v.of(core_a) if g in v.of(core_b)), None) != gram:
                     continue
                 c = v.cosine(core_a, core_b)
                 if c >= least and _fits(core_a, given_a, trade_a, open_a, core_b, given_b, trade_b, open_b):
-                    at.append(i)
-                    cosine.append(c)
-            at_ = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(1).take(at_), batch.column(6).take(at_), batch.column(5).take(at_), batch.column(10).take(at_), batch.column(4).take(at_), batch.column(9).take(at_), pa.array(cosine, pa.float64())],
-                names=["a", "b", "open_a", "open_b", "trade_a", "trade_b", "cosine"],
-            )
+                    out.append((node_a, node_b, open_a, open_b, trade_a, trade_b, c))
+            cols = list(zip(*out)) if out else [[]] * 7
+            kinds = (pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.string(), pa.string(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["a", "b", "open_a", "open_b", "trade_a", "trade_b", "cosine"])
 
     found = cut(pairs.mapInArrow(verify, "a string, b string, open_a boolean, open_b boolean, trade_a string, trade_b string, cosine double"))
     # a node without a full trade goes with the trade of its closest spelling, if only one has it

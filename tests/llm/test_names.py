@@ -119,3 +119,53 @@ def test_joined_and_reordered_words_link(spark):
     data = ["Krala Dupe Vreshi Plimo Wobe Bulfa Zandi Systems", "Kraladupevreshiplimowobebulfazandi Systems", "Alder Birch Cedar Dogwood", "Birch Alder Cedar Dogwood", "Alder Birch Cedar Oakwood"]
     got = {tuple(r) for r in N.same_organisation(spark.createDataFrame([(x,) for x in data], "name string")).collect()}
     assert {("Krala Dupe Vreshi Plimo Wobe Bulfa Zandi Systems", "Kraladupevreshiplimowobebulfazandi Systems"), ("Alder Birch Cedar Dogwood", "Birch Alder Cedar Dogwood")} == got
+
+
+def made_up(n):
+    import random
+
+    rng = random.Random(7)
+    parts = ["gru", "kre", "flo", "sjun", "vom", "il", "ple", "dar", "wi", "tus", "bel", "ozd", "nak", "hir", "pomp"]
+    return sorted({"".join(rng.choice(parts) for _ in range(4)).capitalize() for _ in range(n)})
+
+
+def test_pairs_to_compare_grow_with_the_names_not_with_their_square(spark):
+    def count(cores):
+        nodes = N.parsed(spark.createDataFrame([(f"{c} Robotics",) for c in cores], "name string")).select("node", "core", "given", "trade")
+        share = spark.sparkContext.broadcast
+        return N.candidates(nodes, share(N._vectors(nodes)), share(N.complete_trades(nodes))).distinct().count()
+
+    cores = made_up(4000)
+    assert count(cores) < 30 * len(cores)  # pairs with a sequence in common: several hundred a name
+
+
+def test_long_lists_miss_no_link(spark, rows, monkeypatch):
+    import random
+
+    rng = random.Random(9)
+    names = []
+    for c in made_up(150):
+        k = rng.randrange(2, len(c) - 2)
+        names += [f"{c} Robotics", f"{c[:k]}{c[k + 1]}{c[k]}{c[k + 2:]} Robotics Inc", f"{c[:k]}x{c[k:]} Robotics", f"{c}", f"{c[:6]} {c[6:]} Marine Ltd", f"Tusnak {c}", f"Tusnak {c[1:]} Robotics"]
+    data = spark.createDataFrame([(n,) for n in names], "n string")
+    monkeypatch.setattr(N, "HOT", 0)
+    by_letters = rows(N.same_organisation(data))
+    monkeypatch.setattr(N, "HOT", 10**9)
+    assert by_letters == rows(N.same_organisation(data)) and len(by_letters) > 400
+
+
+def test_spellings_have_one_signature_in_common():
+    import random
+
+    rng = random.Random(2)
+    for _ in range(300):
+        a = "".join(rng.choice("abcdefghiklé語") for _ in range(rng.randint(5, 24)))
+        most, b = N.allowed(len(a)), a
+        for _ in range(most):
+            k = rng.randrange(len(b) - 1)
+            b = rng.choice([b[:k] + b[k + 1 :], b[:k] + "z" + b[k:], b[:k] + "y" + b[k + 1 :], b[:k] + b[k + 1] + b[k] + b[k + 2 :]])
+        if edits(a, b, N.allowed(min(len(a), len(b)))) <= N.allowed(min(len(a), len(b))):
+            text, key, gone = N.signatures([a, b[2:] + " " + b[:2]], [most, N.allowed(len(b))])
+            own = [list(zip(key[text == i].tolist(), gone[text == i].tolist())) for i in (0, 1)]
+            assert sum(k == q and not g & h for k, g in own[0] for q, h in own[1]) == 1
+    assert all(len(x) == 1 for x in N.signatures(["abc"], [0]))
