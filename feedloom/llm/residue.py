@@ -71,7 +71,8 @@ UNSURE = {
 #: Inner texts of seed spans (fixed values).
 SPAN_SEEDS = ("to be completed", "to be confirmed", "to be filled in", "insert text here", "add text", "enter name", "first name", "job title", "company name", "start date", "object object", "tbd", "todo")
 _SPAN = re.compile("|".join([*SURE.values(), *UNSURE.values()]))
-_HINT = re.compile(r"[{\[<@]|\*\||__|%[A-Za-z]|\$[A-Za-z]|&lt;|to be filled in")
+#: First characters of marked spans; the pattern is tried nowhere else.
+_FIRST = re.compile(r"[{\[<(*&@_#%$]")
 _INNER = re.compile(r"[a-z]+|[^\W\d_]+")
 _MIX, _PAIR = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _NUMBER = np.uint64(7)
@@ -83,17 +84,31 @@ _BYTE[48:58] = 2
 _ENDS, _BLANK = np.isin(np.arange(256), list(b".!?;")), np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
 
 
+def _matches(text: str) -> list[re.Match[str]]:
+    """The marked spans, from left to right, none within another."""
+    out, end = [], 0
+    for first in _FIRST.finditer(text):
+        if first.start() >= end and (m := _SPAN.match(text, first.start())):
+            out.append(m)
+            end = m.end()
+    return out
+
+
+def _named(m: re.Match[str]) -> tuple[str, str]:
+    return m.lastgroup or "", (m[m.lastgroup] or "") if m.lastgroup else ""
+
+
 def spans(text: str) -> list[tuple[str, str]]:
     """(syntax, inner text) of each marked span."""
-    if not _HINT.search(text):
-        return []
-    return [(m.lastgroup or "", (m[m.lastgroup] or "") if m.lastgroup else "") for m in _SPAN.finditer(text)]
+    return [_named(m) for m in _matches(text)]
 
 
 def _bucket(h: np.ndarray, bits: int) -> np.ndarray:
     h = h * _MIX
-    h = (h ^ (h >> np.uint64(32))) * _MIX
-    return (h >> np.uint64(64 - bits)).astype(np.int64)
+    h ^= h >> np.uint64(32)
+    h *= _MIX
+    h >>= np.uint64(64 - bits)
+    return h.view(np.int64)
 
 
 class Units:
@@ -111,27 +126,30 @@ class Units:
         kind, blank = _BYTE[data], _BLANK[data]
         cut = data == 10
         cut[:-1] |= _ENDS[data[:-1]] & blank[1:]
-        part = np.cumsum(cut) - cut
+        # a cut ends its part, and every text ends with one
+        part, ends = np.cumsum(cut, dtype=np.int32), np.flatnonzero(cut)
         change = np.ones(n + 1, bool)
-        change[1:-1] = kind[1:] != kind[:-1]
-        begin = np.flatnonzero(change[:-1] & (kind > 0))
-        end = np.flatnonzero(change[1:] & (kind > 0)) + 1
+        np.not_equal(kind[1:], kind[:-1], out=change[1:n])
+        worded = kind > 0
+        begin = np.flatnonzero(change[:-1] & worded)
+        end = np.flatnonzero(change[1:] & worded) + 1
         word = slice_hashes(data, begin, end)
         # numbers are alike but for the codes of errors
-        code = (end - begin == 3) & np.isin(data[begin], (52, 53))
-        word[(kind[begin] == 2) & ~code] = _NUMBER
-        where = part[begin]
-        units = int(part[-1]) + 1 if n else 0
-        letters = np.bincount(part[~blank], minlength=units)
+        number = np.flatnonzero(kind[begin] == 2)
+        code = (end[number] - begin[number] == 3) & np.isin(data[begin[number]], (52, 53))
+        word[number[~code]] = _NUMBER
+        letters = np.diff(np.cumsum(~blank, dtype=np.int32)[ends], prepend=0)
         alive = letters > 0
         new = np.cumsum(alive) - 1
-        near = where[1:] == where[:-1]
-        pairs = word[:-1][near] * _PAIR + word[1:][near]
-        self.feature = np.concatenate([_bucket(word, BITS), _bucket(pairs, BITS)])
-        self.unit = np.concatenate([new[where], new[where[1:][near]]])
-        owner = np.repeat(np.arange(len(parts)), np.fromiter(map(len, parts), np.int64, len(parts)))
-        self.record = owner[np.flatnonzero(np.concatenate([[True], cut[:-1]]))[:units][alive]] if n else np.zeros(0, np.int64)
-        self.letters = letters[alive]
+        unit = new[part[begin]]
+        near = np.flatnonzero(unit[1:] == unit[:-1])
+        pairs = word[near] * _PAIR
+        pairs += word[near + 1]
+        self.feature = _bucket(np.concatenate([word, pairs]), BITS)
+        self.unit = np.concatenate([unit, unit[near]])
+        texts_end = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
+        self.record = np.repeat(np.arange(len(parts)), np.diff(part[texts_end - 1], prepend=0))[alive]
+        self.letters = letters[alive].astype(np.int64)
 
     def score(self, weights: np.ndarray) -> np.ndarray:
         """The sum of the weights of each unit's features."""
@@ -249,8 +267,15 @@ class Model:
 
 def _split(texts: list[str]) -> tuple[list[list[tuple[str, str]]], list[str]]:
     """The spans of each text, and the texts without them."""
-    marked = [spans(t) for t in texts]
-    return marked, [_SPAN.sub(" ", t) if own else t for t, own in zip(texts, marked)]
+    marked, rest = [], []
+    for text in texts:
+        found = _matches(text)
+        marked.append([_named(m) for m in found])
+        if found:
+            ends = [0, *[m.end() for m in found]]
+            text = " ".join([*[text[e : m.start()] for e, m in zip(ends, found)], text[ends[-1] :]])
+        rest.append(text)
+    return marked, rest
 
 
 def _totals(batches: Iterator[list[str]]) -> dict[str, np.ndarray]:
