@@ -8,9 +8,8 @@ sequences of a vector are indexed, as many as needed so that no pair at or above
 the sequences, so lists grow with the table and their pairs with its square; nodes of a long list meet in a
 second index instead, by their letters (``signatures``): spellings of one name have the same letters in some
 order but for the errors allowed, so no link is missed and few other pairs meet. A pair is linked if its
-cosine reaches the threshold and an exact comparison of the parts finds
-spellings of one. Connected links are then clustered by average linkage, which keeps chains of small
-differences from joining different organisations.
+cosine reaches the threshold and an exact comparison of the parts finds spellings of one. Connected links are
+then clustered by average linkage, which keeps chains of small differences from joining different organisations.
 
 The gram statistics, one count for each three-letter sequence, are bounded by the alphabet.
 """
@@ -232,7 +231,7 @@ def _by_letters(crowded: DataFrame, known: Broadcast) -> DataFrame:
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left = None
-        for batch in batches:
+        for batch in (b for b in batches if b.num_rows):
             rows = pa.Table.from_batches([batch] if left is None else [left, batch]).combine_chunks().to_batches()[0]
             # rows of the last key wait for the next batch
             key = rows.column(0).to_numpy(zero_copy_only=False)
